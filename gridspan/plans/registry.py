@@ -142,9 +142,9 @@ def enum_names(spark, sf_dir):
     return projection.names_of(events(spark, sf_dir, (F.col("user_id") % 3).cast("int")), {0: "RED", 1: "GREEN"}).df
 
 
-@query("SELECT event_id AS i0, CASE WHEN user_id - 75 < 0 THEN (user_id - 75)::HUGEINT + 18446744073709551616 ELSE (user_id - 75)::HUGEINT END::DECIMAL(20, 0) AS v FROM events")
+@query("SELECT event_id AS i0, CASE WHEN user_id - 75 < 0 THEN (user_id - 75)::HUGEINT + 18446744073709551616 ELSE (user_id - 75)::HUGEINT END::VARCHAR AS v FROM events")
 def exact_unsigned(spark, sf_dir):
-    return events(spark, sf_dir, projection.exact_unsigned(F.col("user_id") - 75)).df
+    return events(spark, sf_dir, projection.exact_unsigned(F.col("user_id") - 75).cast("string")).df
 
 
 # Reductions
@@ -161,9 +161,10 @@ def block_mean_int(spark, sf_dir):
     return reduce.block_mean(parts(spark, sf_dir), (3,), "int").df
 
 
-@query("SELECT event_id // 7 AS i0, floor((2 * sum(user_id) + count(*)) / (2.0::DOUBLE * count(*)))::DECIMAL(20, 0) AS v FROM events GROUP BY event_id // 7")
+@query("SELECT event_id // 7 AS i0, floor((2 * sum(user_id) + count(*)) / (2.0::DOUBLE * count(*)))::BIGINT AS v FROM events GROUP BY event_id // 7")
 def block_mean_i64(spark, sf_dir):
-    return reduce.block_mean(events(spark, sf_dir, "user_id"), (7,), "wide").df
+    a = reduce.block_mean(events(spark, sf_dir, "user_id"), (7,), "wide")
+    return a.with_value(F.col("v").cast("bigint")).df
 
 
 @query("SELECT event_id // 4 AS i0, 2 * count(*) FILTER (value > 50) >= count(*) AS v FROM events GROUP BY event_id // 4")
