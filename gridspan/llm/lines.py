@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = " \t\n\x0b\x0c\r"
 LEAST_LENGTH, LEAST_DOCS = 20, 3
@@ -39,6 +41,7 @@ def dedup_lines(docs: DataFrame, *, least_length: int = LEAST_LENGTH, least_docs
 
     each = base.select("id", F.explode(F.array_distinct(F.filter(hashes, long_enough))).alias("h"))
     shared = each.groupBy("h.a", "h.b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= least_docs).select("a", "b", "keeper")
+    shared = checkpointed(shared)  # a side of its own exchange: adaptive execution can then split a hot key of the other side
 
     at = base.select("id", "digest", F.posexplode(hashes).alias("pos", "h")).filter(F.col("h").isNotNull()).select("id", "digest", "pos", "h.a", "h.b")
     dropped = at.join(shared, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))

@@ -81,7 +81,7 @@ def find_secrets(docs: DataFrame, *, owner_col: str = "source", copied_owners: i
     owners = each.groupBy("a", "b", "owner").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("owners"))
     repositories = each.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("repositories"))
     known = owners.join(repositories, ["a", "b"])
-    judged = each.join(known, ["a", "b"]).withColumn("value", F.when(F.col("owners") < copied_owners, F.struct("a", "b"))).withColumn("other", F.when(F.col("owners") >= copied_owners, F.struct("a", "b")))
+    judged = each.join(checkpointed(known), ["a", "b"]).withColumn("value", F.when(F.col("owners") < copied_owners, F.struct("a", "b"))).withColumn("other", F.when(F.col("owners") >= copied_owners, F.struct("a", "b")))
     of_row = judged.groupBy("row").agg(
         F.size(F.collect_set("value")).cast("long").alias("n_live"), F.size(F.collect_set("other")).cast("long").alias("n_copied"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"), F.collect_set(F.when(F.col("owners") < copied_owners, F.col("span"))).alias("live")
     )

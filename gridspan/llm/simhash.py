@@ -103,7 +103,7 @@ def covering_links(distinct: DataFrame) -> DataFrame:
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks())]
     rows = distinct.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.t", "x.key")
     crowded = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpointed(rows.join(crowded, ["t", "key"]))
+    members = checkpointed(rows.join(checkpointed(crowded), ["t", "key"]))
 
     def run(batches):
         for batch in batches:
@@ -191,7 +191,7 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
     rows = rows.select("node", "fp", "n", "band", "x.t", "x.key")
     member = F.struct(F.xxhash64("fp", "node", "t", "key").alias("draw"), F.col("node"), F.col("fp"), F.col("n"))
     ends = rows.groupBy("t", "key", "band").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low <> high")
-    met = rows.join(ends, ["t", "key", "band"]).select("node", "fp", "n", F.explode(F.array("low", "high")).alias("o"))
+    met = rows.join(checkpointed(ends), ["t", "key", "band"]).select("node", "fp", "n", F.explode(F.array("low", "high")).alias("o"))
     alike = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= FAR_BITS) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n"))
     pairs = met.filter((F.col("node") != F.col("o.node")) & alike).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
     pairs = checkpointed(pairs)
