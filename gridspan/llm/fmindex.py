@@ -209,13 +209,14 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, with_text: bool =
 
     rows = base.select("id", "key", "text").mapInArrow(cut, "anchor long, content long, id long, key long, start int, n int")
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
-    hits = checkpointed(rows.join(again, "anchor"))
+    # each aggregate is a side of its own exchange, so that adaptive execution can split the other side's hot keys
+    hits = checkpointed(rows.join(checkpointed(again), "anchor"))
 
     one = F.struct("id", "key", "start", "n")
     contents = hits.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("one"))
     contents = checkpointed(contents.select("anchor", "content", "times", "one.*"))
     kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1").select("anchor", "kinds")
-    wanted = contents.join(kinds, "anchor").groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "content", "start", "n", (F.col("times") == 1).alias("asked"), (F.col("kinds") > CROWD).alias("crowd"))).alias("cuts"))
+    wanted = contents.join(checkpointed(kinds), "anchor").groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "content", "start", "n", (F.col("times") == 1).alias("asked"), (F.col("kinds") > CROWD).alias("crowd"))).alias("cuts"))
 
     def fetch(batches):
         for batch in batches:
@@ -272,7 +273,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, with_text: bool =
 
     apart = fetched.filter("crowd").select("anchor", "content", "words").mapInArrow(each_window, "anchor long, content long, at int, a long, b long")
     twice = apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("a", "b")
-    by_window = apart.join(twice, ["a", "b"]).select("anchor", "content", F.col("at").alias("low"), (F.col("at") + window).alias("high"))
+    by_window = apart.join(checkpointed(twice), ["a", "b"]).select("anchor", "content", F.col("at").alias("low"), (F.col("at") + window).alias("high"))
 
     whole = contents.filter("times > 1").select("anchor", "content", F.lit(0).alias("low"), (F.col("n") + (window - 1)).alias("high"))
     spans = whole.union(by_index).union(by_window)
