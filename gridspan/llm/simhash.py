@@ -132,7 +132,7 @@ def near_fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     found = components(covering_links(distinct.select("fp")))
     labelled = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(of_label, "label").select("fp", "component_id")
+    of_fp = labelled.join(checkpointed(of_label), "label").select("fp", "component_id")
     return base.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
