@@ -17,12 +17,13 @@ from math import prod
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..array import ArrayFrame
 from ..functions import casts, codecs
 from ..functions.chunks import key_text, run_lengths
 from ..functions.text import fill_from_json, fill_to_json
+from .box import BoxReader, grouped
 from .stores import Store, open_store
 
 ABSENT = 2**64 - 1
@@ -569,34 +570,15 @@ def elements(x: np.ndarray, origin, meta: ArrayMeta, low, high) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*columns, to_arrow(part.ravel(), meta.kind)], names=[*meta.dims, "v"])
 
 
-class Cells(InputPartition):
-    def __init__(self, cells):
-        super().__init__(cells)
-        self.cells = cells
-
-
-class ZarrReader(DataSourceReader):
+class ZarrReader(BoxReader):
     def __init__(self, path: str, array: str, form: str, keep_absent: bool, partition_bytes: int):
         self.path, self.form, self.keep_absent, self.partition_bytes = path, form, keep_absent, partition_bytes
         self.base = f"{array.strip('/')}/" if array.strip("/") else ""
         self.meta = open_array(open_store(path), array)
-        self.low, self.high = [0] * len(self.meta.shape), list(self.meta.shape)
-
-    def pushFilters(self, filters):
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name in self.meta.dims and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                k = self.meta.dims.index(name)
-                if not isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.low[k] = max(self.low[k], f.value + isinstance(f, GreaterThan))
-                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.high[k] = min(self.high[k], f.value + (not isinstance(f, LessThan)))
-            yield f  # Spark evaluates it as well
+        self.bound(self.meta.dims, self.meta.shape)
 
     def partitions(self):
-        cells = list(self.meta.cells(self.low, self.high))
-        each = max(1, self.partition_bytes // max(1, self.meta.chunk_bytes()))
-        return [Cells(cells[i : i + each]) for i in range(0, len(cells), each)] or [Cells([])]
+        return grouped(list(self.meta.cells(self.low, self.high)), self.partition_bytes // max(1, self.meta.chunk_bytes()))
 
     def read(self, partition):
         store = open_store(self.path)
