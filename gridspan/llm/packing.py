@@ -9,8 +9,10 @@ into full sequences, and the last partial one into power-of-two sequences, which
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from .common import slices
 
 CAPACITY = 4096
 SLACK = 64
-#: Words whose ids a worker keeps; the table starts anew beyond that.
-CACHED_WORDS = 500_000
+#: Words and pieces whose ids a worker keeps; a table starts anew beyond that.
+CACHED_WORDS, CACHED_PIECES = 150_000, 400_000
+#: Latin letters whose lower case and composition are one to one, then ASCII punctuation but the apostrophe.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, pieces_per_bin int"
 
 
@@ -31,14 +35,27 @@ class WordEncoder:
     """Ids of texts by a tokenizer that drops white space; ids of a word are looked up once.
 
     Splitting at ASCII white space first gives the ids of the whole text, since the tokenizer's own pattern never
-    matches across white space and its normaliser never joins characters across it.
+    matches across white space and its normaliser never joins characters across it. A word of Latin letters and ASCII
+    punctuation after them is two of the tokenizer's own pieces, whose ids are looked up by themselves, in any case of
+    the letters; many such pieces are encoded as one text and told apart by the mark at the end of each.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        for low in range(0, len(pieces), 2_000):
+            part = pieces[low : low + 2_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.pieces.update((p, raw[a:b]) for p, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
 
     def words(self, lists: list[list[bytes]]) -> list[bytes]:
         """Little-endian uint32 ids of each list of words."""
@@ -46,16 +63,29 @@ class WordEncoder:
         if len(self.known) + len(fresh) > CACHED_WORDS:
             self.known.clear()
             fresh = list(set().union(*lists))
-        for low in range(0, len(fresh), 20_000):
-            part = fresh[low : low + 20_000]
-            done = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, done, strict=True))
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces = {"": b""}
+        simple, rest = [], []
+        for w in fresh:
+            m = SIMPLE.fullmatch(text := w.decode())
+            simple.append((w, m[1].lower(), m[2])) if m else rest.append((w, text))
+        self.learn_pieces(list({p for _, *parts in simple for p in parts}.difference(self.pieces)))
+        pieces = self.pieces
+        self.known.update((w, pieces[a] + pieces[b]) for w, a, b in simple)
+        done = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for (w, _), e in zip(rest, done, strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in lists]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         return self.words([(t or "").encode().split() for t in texts])
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker process's encoder, kept from task to task."""
+    return WordEncoder(path)
+
+
 def cuts(tokens: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[int]:
     """Lengths of the pieces of a document, in order."""
     pieces = [capacity] * (tokens // capacity)
@@ -122,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, bins, rows = WordEncoder(tokenizer), HarmonicBins(TaskContext.get().partitionId() << 32, capacity), []
+        encoder, bins, rows = encoder_of(tokenizer), HarmonicBins(TaskContext.get().partitionId() << 32, capacity), []
 
         def out():
             columns = list(zip(*rows, strict=True))
