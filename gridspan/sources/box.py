@@ -33,4 +33,5 @@ class BoxReader(DataSourceReader):
 
 def grouped(cells: list, each: int) -> list[Cells]:
     """Tasks of so many chunks; one empty task if there are none."""
-    return [Cells(cells[i : i + each]) for i in range(0, len(cells), max(1, each))] or [Cells([])]
+    each = max(1, each)
+    return [Cells(cells[i : i + each]) for i in range(0, len(cells), each)] or [Cells([])]

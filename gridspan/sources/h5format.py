@@ -109,13 +109,15 @@ class H5File:
             self.O, self.L = self.data[at + 13], self.data[at + 14]
             p = at + (24 if version == 0 else 28)
             self.base = self.uint(p, self.O)
-            self.root = self.uint(p + 5 * self.O, self.O)
+            self.root, end = self.uint(p + 5 * self.O, self.O), self.uint(p + 2 * self.O, self.O)
         elif version in (2, 3):
             self.O, self.L = self.data[at + 9], self.data[at + 10]
             self.base = self.uint(at + 12, self.O)
-            self.root = self.uint(at + 12 + 3 * self.O, self.O)
+            self.root, end = self.uint(at + 12 + 3 * self.O, self.O), self.uint(at + 12 + 2 * self.O, self.O)
         else:
             raise FormatError(f"superblock version {version}")
+        if end > len(self.data):
+            raise FormatError(f"{path} is cut off")
         self.version, self.none = version, (1 << 8 * self.O) - 1
         self.heaps: dict[int, dict[int, bytes]] = {}
 
