@@ -708,6 +708,11 @@ def write_array(a: ArrayFrame, path: str, array: str = "", *, data_type: str, ch
     if overwrite:
         for key in store.keys(base):
             store.delete(key)
+    parts = base.strip("/").split("/") if base else []
+    for k in range(len(parts)):  # the groups above it
+        key = "/".join([*parts[:k], "zarr.json"])
+        if store.get(key) is None:
+            store.put(key, json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {}}).encode())
     store.put(f"{base}zarr.json", json.dumps(doc).encode())
     outer = shards or chunks
     names = [f"i{k}" for k in range(a.rank)]
