@@ -25,7 +25,7 @@ from .common import slices
 CAPACITY = 4096
 SLACK = 64
 #: Words and pieces whose ids a worker keeps; a table starts anew beyond that.
-CACHED_WORDS, CACHED_PIECES = 150_000, 400_000
+CACHED_WORDS, CACHED_PIECES = 400_000, 500_000
 #: Latin letters whose lower case and composition are one to one, then ASCII punctuation but the apostrophe.
 SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, pieces_per_bin int"
@@ -40,9 +40,10 @@ class WordEncoder:
     the letters; many such pieces are encoded as one text and told apart by the mark at the end of each.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = CACHED_WORDS, most_pieces: int = CACHED_PIECES):
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_pieces = most_words, most_pieces
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -60,10 +61,10 @@ class WordEncoder:
     def words(self, lists: list[list[bytes]]) -> list[bytes]:
         """Little-endian uint32 ids of each list of words."""
         fresh = list(set().union(*lists).difference(self.known))
-        if len(self.known) + len(fresh) > CACHED_WORDS:
+        if len(self.known) + len(fresh) > self.most_words:
             self.known.clear()
             fresh = list(set().union(*lists))
-        if len(self.pieces) > CACHED_PIECES:
+        if len(self.pieces) > self.most_pieces:
             self.pieces = {"": b""}
         simple, rest = [], []
         for w in fresh:
@@ -81,9 +82,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str, most_words: int = CACHED_WORDS, most_pieces: int = CACHED_PIECES) -> WordEncoder:
     """A worker process's encoder, kept from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, most_words, most_pieces)
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[int]:
