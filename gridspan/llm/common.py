@@ -47,3 +47,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def on_worker(spark: SparkSession, function, *arguments):
+    """``function(*arguments)`` computed in one task: for fits on bounded samples, which then leave the driver alone."""
+    sent = spark.sparkContext.broadcast(arguments)
+    return spark.sparkContext.parallelize([0], 1).map(lambda _: function(*sent.value)).first()

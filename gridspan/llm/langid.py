@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import on_worker, slices
 
 WIDTHS = (4, 3, 2)  # widest first: the table of a later offset covers a leading part of the filters
 FILTERS, EMBED, SPAN = 16, 12, 125
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteC
 
     got = sorted((r["doc_id"], r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(run, "doc_id long, lang string, bytes binary").collect())
     x = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, WINDOW)
-    return train(x, [r[1] for r in got])
+    return on_worker(docs.sparkSession, train, x, [r[1] for r in got])
 
 
 def identify(docs: DataFrame, net: ByteConvNet, *, text_col: str = "text") -> DataFrame:

@@ -272,8 +272,9 @@ def small_model(seed=0):
     windows = rng.integers(0, vocabulary, (200, lm.SPAN + 1)) // 3
     classes = lm.word_classes(windows, vocabulary)
     state = np.where(np.arange(vocabulary) % 2 == 0, lm.CLASSES, classes)
-    pairs = rng.integers(0, 9, (lm.CLASSES + 1, vocabulary)).astype(float)
-    return lm.train(classes, state, pairs, windows)
+    state[-1] = lm.CLASSES
+    pair = np.unique(rng.integers(0, vocabulary * vocabulary, 4000))
+    return lm.train(classes, state, pair // vocabulary, pair % vocabulary, rng.integers(1, 9, len(pair)).astype(float), windows)
 
 
 def test_lm_is_a_distribution(monkeypatch):
