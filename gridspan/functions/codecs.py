@@ -407,7 +407,7 @@ def coded(df: DataFrame, steps: list[tuple[str, dict]], *, column: str = "data",
 
     def apply(data: bytes) -> bytes:
         for name, options in reversed(steps) if decode else steps:
-            data = CODECS[name][1](data, limit, **options) if decode else CODECS[name][0](data, **options)
+            data = CODECS[name][1](data, limit, **(options if "shuffle" in name else {})) if decode else CODECS[name][0](data, **options)
         return data
 
     def run(batches):

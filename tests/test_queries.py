@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from gridspan.plans import roundtrips  # noqa: F401  adds its queries
 from gridspan.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables
 @pytest.fixture(scope="module")
 def sql():
     connection = duckdb.connect()
-    for name in ("part", "events", "embeddings"):
+    for name in ("part", "events", "embeddings", "documents"):
         connection.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return connection
 
