@@ -27,6 +27,11 @@ UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; the pattern alone also takes numbers such as fractions."""
+    return text is not None and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Fixed-length windows over whole texts, zero-padded, and the number of windows of each text."""
     counts = np.array([max(1, -(-max(len(t) - WINDOW + SPAN, 1) // SPAN)) for t in texts])
@@ -64,7 +69,7 @@ class ByteConvNet:
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: mean probabilities of its windows, weighted by their bytes."""
-        known = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
+        known = np.array([has_letter(t) for t in texts], bool)
         if not self.languages or not known.any():
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         raw = [t.encode() for t, k in zip(texts, known, strict=True) if k]
@@ -157,7 +162,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteC
             for part in slices(batch, "text"):
                 out = []
                 for doc, lang, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
-                    if LETTER.search(text):
+                    if has_letter(text):
                         x, counts = windows([text.encode()])
                         for i in np.unique(np.linspace(0, int(counts[0]) - 1, WINDOWS_PER_DOC).astype(int)):
                             out.append((doc, lang, x[i].tobytes()))

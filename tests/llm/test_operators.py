@@ -516,6 +516,10 @@ def test_language_id(spark, docs, empty, monkeypatch):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(empty, net).count() == 0
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in (None, "", "12 _.", "½²", "½é", "日")] == [False] * 4 + [True] * 2
+
+
 def test_windows_cover_whole_texts():
     for n in (0, 1, 124, 125, 128, 129, 500):
         x, counts = langid.windows([bytes(range(1, 256))[:n] * 1 if n < 255 else bytes([7]) * n])
