@@ -9,6 +9,7 @@ into full sequences, and the last partial one into power-of-two sequences, which
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ class WordEncoder:
     def __init__(self, path: str, most_words: int = CACHED_WORDS, most_pieces: int = CACHED_PIECES):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a pool of threads would only spin
         self.most_words, self.most_pieces = most_words, most_pieces
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
