@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql.datasource import DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 
@@ -13,6 +15,34 @@ class Cells(InputPartition):
         self.cells = cells
 
 
+class CellRange(InputPartition):
+    """A run of the chunks of a box of chunks, in C order, by two numbers: a plan of many tasks stays small."""
+
+    def __init__(self, first: tuple[int, ...], sizes: tuple[int, ...], start: int, stop: int):
+        super().__init__((start, stop))
+        self.first, self.sizes, self.start, self.stop = first, sizes, start, stop
+
+    @property
+    def cells(self):
+        for k in range(self.start, self.stop):
+            cell = []
+            for f, n in zip(reversed(self.first), reversed(self.sizes), strict=True):
+                k, i = divmod(k, n)
+                cell.append(f + i)
+            yield tuple(reversed(cell))
+
+
+#: Tasks of a scan at most; beyond that each gets more chunks.
+MOST_TASKS = 100_000
+
+
+def cell_ranges(first: tuple[int, ...], sizes: tuple[int, ...], each: int) -> list[CellRange]:
+    """The chunks from ``first``, so many in each dimension, as tasks of ``each`` chunks or more."""
+    total = prod(sizes)
+    each = max(1, each, -(-total // MOST_TASKS))
+    return [CellRange(first, sizes, i, min(total, i + each)) for i in range(0, total, each)] or [CellRange(first, sizes, 0, 0)]
+
+
 class BoxReader(DataSourceReader):
     """A reader of an array with the coordinate columns ``dims``; ``low`` and ``high`` (exclusive) bound what is asked."""
 

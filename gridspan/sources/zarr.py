@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from decimal import Decimal
 from itertools import product
@@ -23,7 +24,7 @@ from ..array import ArrayFrame
 from ..functions import casts, codecs
 from ..functions.chunks import key_text, run_lengths
 from ..functions.text import fill_from_json, fill_to_json
-from .box import BoxReader, grouped
+from .box import BoxReader, cell_ranges
 from .stores import Store, open_store
 
 ABSENT = 2**64 - 1
@@ -410,14 +411,24 @@ class ArrayMeta:
     def key(self, cell) -> str:
         return key_text(cell, self.encoding, self.separator)
 
-    def cells(self, low=None, high=None):
-        """Chunks that meet the box from ``low`` to ``high`` (exclusive)."""
-        ranges = []
+    def cell_box(self, low=None, high=None) -> list[range]:
+        """In each dimension, the chunks that meet the box from ``low`` to ``high`` (exclusive)."""
+        out = []
         for k, n in enumerate(self.shape):
             a, b = (0 if low is None else max(0, low[k])), (n if high is None else min(n, high[k]))
-            starts = self.starts(k)
-            ranges.append([i for i, s in enumerate(starts) if s < b and s + self.chunk_size(k, i) > a])
-        return product(*ranges)
+            size = self.chunks[k]
+            if a >= b:
+                out.append(range(0))
+            elif isinstance(size, int):
+                out.append(range(a // size, -(-b // size)))
+            else:
+                starts = self.starts(k)
+                out.append(range(bisect_right(starts, a) - 1, bisect_left(starts, b)))
+        return out
+
+    def cells(self, low=None, high=None):
+        """The chunks that meet the box, in C order."""
+        return product(*self.cell_box(low, high))
 
     def chunk_bytes(self) -> int:
         return prod(s if isinstance(s, int) else max(s) for s in self.chunks) * self.kind.item_bytes if self.chunks else self.kind.item_bytes
@@ -578,7 +589,8 @@ class ZarrReader(BoxReader):
         self.bound(self.meta.dims, self.meta.shape)
 
     def partitions(self):
-        return grouped(list(self.meta.cells(self.low, self.high)), self.partition_bytes // max(1, self.meta.chunk_bytes()))
+        box = self.meta.cell_box(self.low, self.high)
+        return cell_ranges(tuple(r.start for r in box), tuple(len(r) for r in box), self.partition_bytes // max(1, self.meta.chunk_bytes()))
 
     def read(self, partition):
         store = open_store(self.path)

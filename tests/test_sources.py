@@ -52,7 +52,18 @@ def test_zarr_pruning(spark, a, tmp_path):
     from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
 
     list(reader.pushFilters([GreaterThanOrEqual(("i0",), 20), LessThan(("i0",), 30), LessThan(("i1",), 10)]))
-    assert [p.cells for p in reader.partitions()] == [[(2, 0)]]
+    assert [list(p.cells) for p in reader.partitions()] == [[(2, 0)]]
+
+
+def test_chunk_plans():
+    meta = zarr.ArrayMeta((20, 7), zarr.kind_of("int32"), (6, [3, 2, 2]), [], 0)
+    assert meta.cell_box() == [range(4), range(3)] and meta.cell_box([6, 3], [12, 5]) == [range(1, 2), range(1, 2)]
+    assert meta.cell_box([5, 2], [7, 6]) == [range(2), range(3)] and list(meta.cells([20, 0], [20, 7])) == []
+    from gridspan.sources.box import cell_ranges
+
+    parts = cell_ranges((1, 2), (2, 3), 4)
+    assert [list(p.cells) for p in parts] == [[(1, 2), (1, 3), (1, 4), (2, 2)], [(2, 3), (2, 4)]]
+    assert len(cell_ranges((0,), (10**12,), 1)) <= 100_000
 
 
 def test_zarr_fill(spark, tmp_path):
