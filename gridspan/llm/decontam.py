@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: exact bounds from word occurrences, then Smith-Waterman alignment.
 
-The word n-grams of the test items are counted over the whole corpus; the rarer half of each item's n-grams are its seeds.
-A document's passages around seed hits are aligned with the item word by word, so that paraphrased or edited copies score
-by what they keep. The text never moves: each block of items visits the documents where they are.
+An alignment that reaches the least score leaves few of an item's words unmatched, so one more of them than that always
+has a match: the words that fewest items have are its seeds. What the words of a document let an item score at most is then
+bounded from above, and only passages whose bound reaches the least score are aligned word by word, so that paraphrased or
+edited copies score by what they keep. No pair that reaches the score is left out. The text never moves: each block of
+items visits the documents where they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-GRAM, LEAST_SEEDS, LEAST_SCORE = 3, 6, 0.5
+GRAM, LEAST_SCORE = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Expected items and words of a block of items, which is what is broadcast at a time.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
+#: Words of a passage that are aligned at a time, besides the overlap.
+PIECE = 2_000
 WORD = re.compile(r"\w+")
 
 
@@ -29,91 +32,67 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block's items as word numbers, and their n-grams by a 64-bit key."""
+    """A block's items as word numbers, and which items each seed word may mean."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], least: float):
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.words = [], []
+        self.ids, self.words, self.least = [], [], least
         for item, text in sorted(rows, key=lambda r: (r[0], r[1])):
             words = words_of(text)
             if len(words) >= GRAM:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
-        grams = [self.grams(w) for w in self.words]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.set(flat, of, at)
-
-    def set(self, flat, of, at) -> None:
-        order = np.argsort(flat, kind="stable")
-        self.of, self.at = of[order], at[order]
-        self.keys, self.first = np.unique(flat[order], return_index=True)
-        self.last = np.append(self.first[1:], len(flat))
-
-    def grams(self, words: np.ndarray) -> np.ndarray:
-        base = 2_000_003
-        out = words[: len(words) - GRAM + 1].copy()
-        for i in range(1, GRAM):
-            out = out * base + words[i : len(words) - GRAM + 1 + i]
-        return out
-
-    def rarer(self, counts: np.ndarray) -> None:
-        """Keep each item's rarer half of n-grams (LEAST_SEEDS at least); counts: of ``keys`` over the corpus."""
-        of_row = np.repeat(counts, self.last - self.first)
-        keep = np.zeros(len(self.of), bool)
-        order = np.lexsort((self.at, of_row, self.of))
-        starts = np.searchsorted(self.of[order], np.arange(len(self.ids) + 1))
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            keep[order[a : a + max(LEAST_SEEDS, -(-(b - a) // 2))]] = True
-        flat = np.repeat(self.keys, self.last - self.first)
-        self.set(flat[keep], self.of[keep], self.at[keep])
-
-    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The document's word numbers (-1: in no item), and the places and key numbers of seed hits."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
-        if len(ids) < GRAM or not len(self.keys):
-            return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = ids >= 0
-        whole = known[: len(ids) - GRAM + 1].copy()
-        for i in range(1, GRAM):
-            whole &= known[i : len(ids) - GRAM + 1 + i]
-        at = np.flatnonzero(whole)
-        keys = self.grams(ids)[at]
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[place] == keys
-        return ids, at[hit], place[hit]
-
-    def matches(self, text: str | None, least: float) -> list[tuple[int, float, int, int, int]]:
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.need = least * MATCH * self.size
+        spread = np.bincount(np.concatenate([np.unique(w) for w in self.words]), minlength=len(self.vocabulary)) if self.words else np.zeros(0, np.int64)
+        seeds = [np.unique(w[np.argsort(spread[w], kind="stable")[: int(len(w) * (1 - least) + 1e-9) + 1]]) for w in self.words]
+        flat = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])[np.argsort(flat, kind="stable")] if seeds else np.zeros(0, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(self.vocabulary)))])
+
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """The items that have a seed in the document, and enough of their words."""
+        found = np.unique(ids[ids >= 0])
+        number = self.first[found + 1] - self.first[found]
+        found, number = found[number > 0], number[number > 0]
+        if not len(found):
+            return np.zeros(0, np.int64)
+        at = np.arange(int(number.sum())) + np.repeat(self.first[found] - np.cumsum(number) + number, number)
+        items = np.unique(self.of[at])
+        size = self.size[items]
+        begin = np.cumsum(size) - size
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[ids] = True
+        there[-1] = False
+        at = np.arange(int(size.sum())) + np.repeat(self.start[items] - begin, size)
+        return items[MATCH * np.add.reduceat(there[self.flat[at]], begin, dtype=np.int64) >= self.need[items]]
+
+    def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, end word, equal words) of the best passage of each item that reaches ``least``."""
-        ids, at, key = self.hits(words_of(text))
-        by_item = defaultdict(list)
-        for p, k in zip(at.tolist(), key.tolist(), strict=True):
-            for r in range(self.first[k], self.last[k]):
-                by_item[int(self.of[r])].append((p, int(self.at[r])))
+        get = self.vocabulary.get
+        ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
         out = []
-        for item, found in by_item.items():
-            words = self.words[item]
-            n, best = len(words), None
-            spread = n // 4 + GRAM
-            found.sort()
-            low, high = None, None
-            spans = []
-            for p, o in found:
-                a, b = max(0, p - o - spread), min(len(ids), p - o + n + spread)
-                if low is not None and a <= high:
-                    high = max(high, b)
-                else:
-                    if low is not None:
-                        spans.append((low, high))
-                    low, high = a, b
-            spans.append((low, high))
-            for a, b in spans:
-                score, start, end, equal = smith_waterman(words, ids[a:b])
-                if best is None or score > best[0]:
-                    best = (score, start + a, end + a, equal)
-            if best[0] >= least * MATCH * n:
+        for item in self.candidates(ids).tolist():
+            words, best = self.words[item], None
+            n, need = len(words), self.need[item]
+            own = np.zeros(len(self.vocabulary) + 1, bool)
+            own[words] = True
+            # no alignment that ends at a word scores more than its best run of MATCH for the item's words, -1 for others
+            total = np.concatenate([[0], np.cumsum(np.where(own[ids], MATCH, -1))])
+            ends = np.flatnonzero(total - np.minimum.accumulate(total) >= need)
+            if not len(ends):
+                continue
+            # words of a passage: the item's, and those that the score leaves room for
+            width = n + int((1 - self.least) * MATCH * n + 1e-9)
+            breaks = np.flatnonzero(np.diff(ends) > width)
+            for a, b in zip(ends[np.append(0, breaks + 1)].tolist(), ends[np.append(breaks, len(ends) - 1)].tolist(), strict=True):
+                for low in range(max(0, a - width), b, max(width, PIECE)):
+                    score, start, end, equal = smith_waterman(words, ids[low : min(b, low + max(width, PIECE) + width)])
+                    if best is None or score > best[0]:
+                        best = (score, start + low, end + low, equal)
+            if best[0] >= need:
                 out.append((self.ids[item], best[0] / (MATCH * n), *best[1:]))
         return out
 
@@ -140,32 +119,15 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return score, int(j), end, equal
 
 
-def item_blocks(docs: DataFrame, items: DataFrame):
-    """Each block of items with its seeds chosen by their counts over ``docs``, broadcast."""
-    spark = docs.sparkSession
+def item_blocks(items: DataFrame, least: float):
+    """Each block of items, broadcast."""
+    spark = items.sparkSession
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(-(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // (4 * BLOCK_WORDS)))
     for block in range(blocks):
         got = [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        made = Items(got)
-        sent = spark.sparkContext.broadcast(made)
-
-        def count(batches, sent=sent):
-            of = sent.value
-            counts = np.zeros(len(of.keys), np.int64)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    for text in part.column("text").to_pylist():
-                        counts[np.unique(of.hits(words_of(text))[2])] += 1
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["k", "n"])
-
-        counts = np.zeros(len(made.keys), np.int64)
-        for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            counts[r["k"]] = r["n"]
-        made.rarer(counts)
-        yield spark.sparkContext.broadcast(made)
+        yield spark.sparkContext.broadcast(Items(got, least))
 
 
 def contaminations(docs: DataFrame, items: DataFrame, *, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -179,12 +141,12 @@ def contaminations(docs: DataFrame, items: DataFrame, *, least_score: float = LE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, equal_words long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for sent in item_blocks(rows, items):
+    for sent in item_blocks(items, least_score):
 
         def run(batches, sent=sent):
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found = [(doc, *m) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for m in sent.value.matches(text, least_score)]
+                    found = [(doc, *m) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for m in sent.value.matches(text)]
                     if found:
                         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word", "equal_words"])
@@ -196,12 +158,12 @@ def contaminations(docs: DataFrame, items: DataFrame, *, least_score: float = LE
 def without_contaminated(docs: DataFrame, items: DataFrame, *, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows that no test item matches; the columns stay. The cases are those of ``contaminations``."""
     kept = docs.select(F.struct("*").alias("row"), F.col("text"))
-    for sent in item_blocks(docs.select("text"), items):
+    for sent in item_blocks(items, least_score):
 
         def run(batches, sent=sent):
             for batch in batches:
                 for part in slices(batch, "text"):
-                    yield part.filter(pa.array([not sent.value.matches(t, least_score) for t in part.column("text").to_pylist()], pa.bool_()))
+                    yield part.filter(pa.array([not sent.value.matches(t) for t in part.column("text").to_pylist()], pa.bool_()))
 
         kept = kept.mapInArrow(run, kept.schema)
     return kept.select("row.*")

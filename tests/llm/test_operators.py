@@ -159,6 +159,36 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminations(empty, bench).count() == 0 and decontam.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_is_brute_force(spark):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(12)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{rng.randint(0, 300)}"
+    items = [[word() for _ in range(rng.randint(12, 45))] for _ in range(16)]
+    texts = []
+    for w in items:
+        for share in (0.0, 0.15, 0.2, 0.25, 0.3):
+            edited = []
+            for i, x in enumerate(w):
+                kind = rng.randrange(3) if rng.random() < share else -1
+                edited += [[f"n{i}"], [], [x, f"n{i}"]][kind] if kind >= 0 else [x]
+            texts.append([word() for _ in range(rng.randint(0, 80))] + edited + [word() for _ in range(rng.randint(0, 80))])
+        texts.append([f"n{i}" if i % 5 == 2 else x for i, x in enumerate(w)])
+        texts.append([x for i, y in enumerate(w) for x in ([y, f"n{i}"] if i % 2 else [y])])  # no three words in a row are left
+    texts.append([x for w in items for x in w[:7]] + [word() for _ in range(5000)])
+    numbers = {x: i for i, x in enumerate({x for w in items + texts for x in w})}
+    wanted = {}
+    for k, t in enumerate(texts):
+        for j, w in enumerate(items):
+            score = decontam.smith_waterman(*(np.array([numbers[x] for x in y]) for y in (w, t)))[0]
+            if score >= len(w):
+                wanted[k, j] = score / (2 * len(w))
+    df = table(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string")
+    found = decontam.contaminations(df, bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == wanted and len(found) == len(wanted)
+    assert {r.doc_id for r in decontam.without_contaminated(df, bench).collect()} == set(range(len(texts))) - {k for k, _ in wanted}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=9), st.lists(st.integers(0, 4), min_size=1, max_size=12))
 def test_smith_waterman(a, b):
