@@ -21,8 +21,6 @@ RADIUS = 2
 DIRECT = 256
 #: Document-level stage: words of a shingle, least Jaccard similarity, mean shingles of a segment, segments looked up.
 SHINGLE, SIMILARITY, SEGMENT, LOOKED_UP = 5, 0.8, 16, 8
-#: Bits that fingerprints of similar documents differ in, far above the expectation (10 at similarity 0.8).
-FAR_BITS = 24
 
 
 def signed(x: int) -> int:
@@ -192,7 +190,7 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
     member = F.struct(F.xxhash64("fp", "node", "t", "key").alias("draw"), F.col("node"), F.col("fp"), F.col("n"))
     ends = rows.groupBy("t", "key", "band").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low <> high")
     met = rows.join(checkpointed(ends), ["t", "key", "band"]).select("node", "fp", "n", F.explode(F.array("low", "high")).alias("o"))
-    alike = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= FAR_BITS) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n"))
+    alike = F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-6
     pairs = met.filter((F.col("node") != F.col("o.node")) & alike).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
     pairs = checkpointed(pairs)
 

@@ -497,6 +497,17 @@ def test_one_of_each(spark, docs, empty):
     assert sorted((r.doc_id, r.text) for r in same.collect() if r.doc_id) == [(3, "A  b")]
 
 
+def test_one_of_each_with_a_line_repeated(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    rows = []
+    for g in range(30):  # SimHash counts the repeated shingles, the Jaccard similarity doesn't
+        w, line = fresh(300), fresh(12)
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w + line * 60))]
+        assert simhash.jaccard(rows[-2][1], rows[-1][1], 5) > 0.9
+    assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, rows)).collect()) == list(range(0, 60, 2))
+
+
 # 9
 
 
