@@ -19,8 +19,10 @@ from .graph import components
 RADIUS = 2
 #: Distinct fingerprints of a bucket that are compared directly; larger buckets go by shared one-bit neighbours.
 DIRECT = 256
-#: Document-level stage: words of a shingle, least Jaccard similarity, mean shingles of a segment, segments looked up.
-SHINGLE, SIMILARITY, SEGMENT, LOOKED_UP = 5, 0.8, 16, 8
+#: Document-level stage: words of a shingle, least Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Documents (expected) whose shingles tell the common ones from the others. They set an order, never a result.
+ORDER_DOCS = 10_000
 
 
 def signed(x: int) -> int:
@@ -134,12 +136,17 @@ def near_fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     return base.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def segments(hashes: np.ndarray) -> list[int]:
-    """SimHashes of content-defined runs of shingles, as signed longs: the LOOKED_UP smallest after scrambling."""
-    ends = np.flatnonzero(hashes % np.uint64(SEGMENT) == 0) + 1
-    parts = np.split(hashes, ends)
-    found = {simhash(p) for p in parts if len(p)}
-    return [signed(x) for x in sorted(found, key=lambda x: (x * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)[:LOOKED_UP]]
+def prefix(distinct: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's ascending hashes in the order of (times, hash), so many that sets of that Jaccard similarity share one.
+
+    ``common`` (ascending) and ``times``: the hashes that come late in the order; all others have no times.
+    """
+    n = len(distinct)
+    take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if not n or not len(common):
+        return distinct[:take]
+    at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+    return distinct[np.argsort(np.where(common[at] == distinct, times[at], 0), kind="stable")[:take]]
 
 
 def jaccard(a: str | None, b: str | None, width: int) -> float:
@@ -150,54 +157,65 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ORDER_DOCS documents have, ascending, and how many have each."""
+    total = texts.count()
+    grain = 1 << 30
+    share = min(grain, -(-grain * ORDER_DOCS // max(1, total)))
+
+    def hashes(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [np.unique(shingle_hashes(words_of(t), words)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(grain)) < share).select("text").distinct()
+    got = sample.mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    h, n = np.asarray(got.column("h"), dtype=np.int64).view(np.uint64), np.asarray(got.column("n"), dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near-duplicates, with its columns: the one with the smallest ``doc_id``.
 
     Documents with the same lower-cased words are copies. Others are linked if the Jaccard similarity of their sets of
-    ``words``-word shingles is ``similarity`` or more, which is verified on whole texts. At that similarity whole-document
-    fingerprints differ in about 10 bits, more than any covering radius of use, so candidates also come from the
-    fingerprints of content-defined segments, most of which an edit leaves as they are. A bucket (a covering key of the
-    document or a segment, with a band of lengths) gives each member two partners, its smallest and its largest member,
-    never all pairs; a pair is missed only if no shared bucket has it and no chain of such links joins it. Null and empty
-    texts are copies of each other. Of rows equal in id and text one stays; an empty table stays empty.
+    ``words``-word shingles is ``similarity`` or more, which is verified on whole texts; groups are what links connect, and
+    all are found: in any common order of shingles, two sets that similar share one of their first n - ceil(similarity n) + 1
+    (n: a set's size). The order puts common shingles last. Documents that share such a shingle are first compared with the
+    smallest one of them; then all pairs of what that left apart are, so a large group isn't paired with itself. Null and
+    empty texts are copies of each other. Of rows equal in id and text one stays; an empty table stays empty.
     """
     spark = docs.sparkSession
     base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     base = base.withColumn("da", F.xxhash64("text")).withColumn("db", F.xxhash64(F.lit(1), "text"))
+    sent = spark.sparkContext.broadcast(common_shingles(base.select("text"), words))
 
     def sketch(batches):
+        common, times = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
+                out, first = [], []
                 for text in part.column("text").to_pylist():
                     w = words_of(text)
                     joined = b" ".join(w)
-                    h = shingle_hashes(w, words)
-                    out.append((signed(xxhash.xxh64_intdigest(joined, 1)), signed(xxhash.xxh64_intdigest(joined, 2)), signed(simhash(h)), len(np.unique(h)), segments(h)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "da", "db")), *made], names=["id", "da", "db", "ca", "cb", "fp", "n", "segments"])
-
-    seen = base.select("id", "da", "db", "text").mapInArrow(sketch, "id long, da long, db long, ca long, cb long, fp long, n long, segments array<long>")
+                    h = np.unique(shingle_hashes(w, words))
+                    out.append((signed(xxhash.xxh64_intdigest(joined, 1)), signed(xxhash.xxh64_intdigest(joined, 2)), len(h)))
+                    first.append(prefix(h, common, times, similarity))
+                made = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+                made.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(first).view(np.int64))))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "da", "db")), *made], names=["id", "da", "db", "ca", "cb", "n", "prefix"])
+
+    seen = base.select("id", "da", "db", "text").mapInArrow(sketch, "id long, da long, db long, ca long, cb long, n long, prefix array<long>")
     node = F.struct(F.col("id"), F.col("da"), F.col("db"))
-    classes = checkpointed(seen.groupBy("ca", "cb").agg(F.min(node).alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("segments").alias("segments")).select("node", "fp", "n", "segments"))
-
-    keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks())]
-    keys = F.concat(F.array(*keys), F.transform("segments", lambda s: F.struct(F.lit(-1).alias("t"), s.alias("key"))))
-    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    rows = classes.select("node", "fp", "n", F.explode(F.array(band, band + 1)).alias("band"), keys.alias("keys")).select("node", "fp", "n", "band", F.explode("keys").alias("x"))
-    rows = rows.select("node", "fp", "n", "band", "x.t", "x.key")
-    member = F.struct(F.xxhash64("fp", "node", "t", "key").alias("draw"), F.col("node"), F.col("fp"), F.col("n"))
-    ends = rows.groupBy("t", "key", "band").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low <> high")
-    met = rows.join(checkpointed(ends), ["t", "key", "band"]).select("node", "fp", "n", F.explode(F.array("low", "high")).alias("o"))
-    alike = F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-6
-    pairs = met.filter((F.col("node") != F.col("o.node")) & alike).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-
-    wanted = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("w"))
-    wanted = wanted.select("a", "b", "w.side", F.col("w.node.id").alias("wid"), F.col("w.node.da").alias("wa"), F.col("w.node.db").alias("wb"))
+    classes = seen.groupBy("ca", "cb").agg(F.min(node).alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("k"), "node", "n", "prefix"))
+
+    tokens = classes.select("k", F.explode("prefix").alias("token"))
+    ends = tokens.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low <> high").select("token", "low")
+    shared = checkpointed(tokens.join(ends, "token"))
     same = F.col("id").eqNullSafe(F.col("wid")) & F.col("da").eqNullSafe(F.col("wa")) & F.col("db").eqNullSafe(F.col("wb"))
-    texts = base.select("id", "da", "db", "text").join(wanted, same).groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("y"))
 
     def verify(batches):
         for batch in batches:
@@ -205,10 +223,31 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
                 ok = [jaccard(x, y, words) >= similarity for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    kind = "struct<id: bigint, da: bigint, db: bigint>"
-    links = texts.mapInArrow(verify, f"a {kind}, b {kind}")
-    found = components(links)
-    goes = found.filter("node <> label").select("node")
-    stays = classes.join(goes, "node", "left_anti").select(F.col("node.id").alias("wid"), F.col("node.da").alias("wa"), F.col("node.db").alias("wb"))
+    def links(pairs):
+        """Those of the pairs (``a``, ``b``, ``c``: first shingles that both have) that are similar.
+
+        Of two sets, the one whose first shingles end earlier in the order has at most its others in common besides ``c``.
+        """
+        of = classes.select("k", "node", "n")
+        both = pairs.join(of.select(F.col("k").alias("a"), F.col("node").alias("of_a"), F.col("n").alias("n_a")), "a").join(of.select(F.col("k").alias("b"), F.col("node").alias("of_b"), F.col("n").alias("n_b")), "b")
+        most = F.col("c") + F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-9) - 1
+        able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+        both = checkpointed(both.filter(able).select("a", "b", "of_a", "of_b"))
+        wanted = both.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("of_a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("of_b").alias("node")))).alias("w"))
+        wanted = wanted.select("a", "b", "w.side", F.col("w.node.id").alias("wid"), F.col("w.node.da").alias("wa"), F.col("w.node.db").alias("wb"))
+        texts = base.select("id", "da", "db", "text").join(wanted, same).groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("y"))
+        return checkpointed(texts.mapInArrow(verify, "a long, b long"))
+
+    near = links(shared.filter("k <> low").select(F.col("low").alias("a"), F.col("k").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
+    labels = components(near)
+    marked = shared.join(labels, shared.k == labels.node, "left").select("token", "k", F.coalesce("label", "k").alias("label"))
+    marked = checkpointed(marked)
+    apart = marked.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
+    rest = checkpointed(marked.join(apart, "token"))
+    left, right = (rest.select("token", F.col("k").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    across = left.join(right, "token").filter("a < b and label_a <> label_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    found = components(near.union(links(across)))
+    labelled = classes.join(found, classes.k == found.node, "left").select(F.coalesce(found.label, classes.k).alias("label"), classes.node.alias("node"))
+    stays = labelled.groupBy("label").agg(F.min("node").alias("node")).select(F.col("node.id").alias("wid"), F.col("node.da").alias("wa"), F.col("node.db").alias("wb"))
     kept = base.select("row", "id", "da", "db").join(stays, same).groupBy("id", "da", "db").agg(F.first("row").alias("row"))
     return kept.select("row.*")

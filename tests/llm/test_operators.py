@@ -508,6 +508,38 @@ def test_one_of_each_with_a_line_repeated(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, rows)).collect()) == list(range(0, 60, 2))
 
 
+def test_one_of_each_is_brute_force(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    passage, rows = fresh(150), []
+    for g in range(160):
+        kind = g % 4
+        w = [fresh(rng.randint(3, 12)), fresh(60), fresh(rng.randint(10, 50)) + passage, passage + fresh(rng.randint(8, 70))][kind]
+        rows.append(" ".join(w))
+        for _ in range(rng.randint(0, 3)):
+            edited = list(w)
+            for _ in range(rng.randint(1, 1 + len(w) // 60)):
+                edited[rng.choice([0, -1, rng.randrange(len(w))])] = f"e{rng.randint(0, 9999)}"
+            rows.append(" ".join(edited))
+    rng.shuffle(rows)
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    wanted = [i for i in range(len(rows)) if find(i) == i]
+    assert len(wanted) < len(rows) - 40
+    assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, list(enumerate(rows)))).collect()) == wanted
+
+
 # 9
 
 
