@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-GRAM, LEAST_SCORE = 3, 0.5
+#: Items of fewer words match by all their words in a row only.
+SHORT = 3
+LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Expected items and words of a block of items, which is what is broadcast at a time.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
@@ -39,13 +41,13 @@ class Items:
         self.ids, self.words, self.least = [], [], least
         for item, text in sorted(rows, key=lambda r: (r[0], r[1])):
             words = words_of(text)
-            if len(words) >= GRAM:
+            if words:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
-        self.need = least * MATCH * self.size
+        self.need = np.where(self.size < SHORT, 1.0, least) * MATCH * self.size
         spread = np.bincount(np.concatenate([np.unique(w) for w in self.words]), minlength=len(self.vocabulary)) if self.words else np.zeros(0, np.int64)
         seeds = [np.unique(w[np.argsort(spread[w], kind="stable")[: int(len(w) * (1 - least) + 1e-9) + 1]]) for w in self.words]
         flat = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
@@ -134,8 +136,8 @@ def contaminations(docs: DataFrame, items: DataFrame, *, least_score: float = LE
     """``doc_id``, ``item_id``, ``score`` and the aligned words (``first_word``, ``end_word``, ``equal_words``) of every
     document and test item whose alignment has ``least_score`` of the item's own score or more; its best passage counts.
 
-    Words are lower-cased runs of letters, digits and underscores. Items with fewer than GRAM words, or a null id or text,
-    take no part. A null or empty text has no match; a null doc_id stays null; repeated documents or items give repeated
+    Words are lower-cased runs of letters, digits and underscores. Items with fewer than SHORT words match
+    where all of them stand in a row; items without words, or with a null id or text, take no part. A null or empty text has no match; a null doc_id stays null; repeated documents or items give repeated
     rows; empty tables give no rows; other columns are ignored. Texts are read whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

@@ -189,6 +189,13 @@ def test_decontamination_is_brute_force(spark):
     assert {r.doc_id for r in decontam.without_contaminated(df, bench).collect()} == set(range(len(texts))) - {k for k, _ in wanted}
 
 
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "Two words."), (2, "solo"), (3, "...")], "item_id bigint, text string")
+    df = table(spark, [(k, t) for k, t in enumerate(["here two words stand", "two other words", "words two", "a solo, two", "none", "... ", None])])
+    assert sorted((r.doc_id, r.item_id, r.score) for r in decontam.contaminations(df, bench).collect()) == [(0, 1, 1.0), (3, 2, 1.0)]
+    assert sorted(r.doc_id for r in decontam.without_contaminated(df, bench).collect()) == [1, 2, 4, 5, 6]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=9), st.lists(st.integers(0, 4), min_size=1, max_size=12))
 def test_smith_waterman(a, b):
