@@ -314,6 +314,14 @@ def small_model(seed=0):
     return lm.train(classes, state, pair // vocabulary, pair % vocabulary, rng.integers(1, 9, len(pair)).astype(float), windows)
 
 
+def test_lm_keeps_every_pair():
+    vocabulary = 750
+    pair = np.arange(vocabulary * vocabulary)
+    state = np.arange(vocabulary) % lm.CLASSES
+    model = lm.train(state, state, pair // vocabulary, pair % vocabulary, np.ones(len(pair)), np.zeros((0, lm.SPAN + 1), np.int64))
+    assert np.array_equal(model.pairs, pair)
+
+
 def test_lm_is_a_distribution(monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 30)
     model = small_model()
