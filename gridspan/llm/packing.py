@@ -10,35 +10,66 @@ into full sequences, and the last partial one into power-of-two sequences, which
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SLICE_BYTES, slices
 
 CAPACITY = 4096
 SLACK = 64
 #: Words and pieces whose ids a worker keeps; a table starts anew beyond that.
 CACHED_WORDS, CACHED_PIECES = 400_000, 500_000
 #: Latin letters whose lower case and composition are one to one, then ASCII punctuation but the apostrophe.
-SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+SIMPLE = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, pieces_per_bin int"
 
 
+def ragged(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The places start[i], start[i] + 1, ... (width[i] of them) of each i in turn."""
+    stop = np.cumsum(width)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - stop + width, width)
+
+
+class Growing:
+    """Ids of numbered entries one after another, and where each entry's begin and end."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.width, self.entries = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, ids: np.ndarray, width: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.entries + len(width) > len(self.start):
+            self.start, self.width = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.width))
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = slice(self.entries, self.entries + len(width))
+        self.start[at], self.width[at] = self.used + np.cumsum(width) - width, width
+        self.used, self.entries = self.used + len(ids), self.entries + len(width)
+
+    def of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the entries in turn, and how many each has."""
+        width = self.width[entries]
+        return self.ids[ragged(self.start[entries], width)], width
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space; ids of a word are looked up once.
 
     Splitting at ASCII white space first gives the ids of the whole text, since the tokenizer's own pattern never
     matches across white space and its normaliser never joins characters across it. A word of Latin letters and ASCII
     punctuation after them is two of the tokenizer's own pieces, whose ids are looked up by themselves, in any case of
-    the letters; many such pieces are encoded as one text and told apart by the mark at the end of each.
+    the letters; many such pieces are encoded as one text and told apart by the mark at the end of each. Texts are split
+    and their words numbered column-wise, so that only distinct words are looked up one by one.
     """
 
     def __init__(self, path: str, most_words: int = CACHED_WORDS, most_pieces: int = CACHED_PIECES):
@@ -50,37 +81,95 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.forget_words()
+        self.forget_pieces()
+
+    def forget_words(self) -> None:
+        self.known: dict[str, int] = {}
+        self.of_word = Growing()
+
+    def forget_pieces(self) -> None:
+        self.pieces: dict[str, int] = {"": 0}
+        self.of_piece = Growing()
+        self.of_piece.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def learn_pieces(self, pieces: list[str]) -> None:
         for low in range(0, len(pieces), 2_000):
             part = pieces[low : low + 2_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.pieces.update((p, raw[a:b]) for p, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            self.pieces.update(zip(part, range(self.of_piece.entries, self.of_piece.entries + len(part)), strict=True))
+            self.of_piece.add(ids, np.diff(stops, prepend=0))
 
-    def words(self, lists: list[list[bytes]]) -> list[bytes]:
-        """Little-endian uint32 ids of each list of words."""
-        fresh = list(set().union(*lists).difference(self.known))
+    def learn(self, words: list[str]) -> None:
+        """Numbers for words not known yet, in order."""
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        parts = pc.extract_regex(pa.array(words, pa.string()), SIMPLE)
+        simple = np.asarray(pc.is_valid(parts))
+        split = parts.filter(pa.array(simple))
+        both = pa.concat_arrays([pc.utf8_lower(split.field("letters")), split.field("marks")]).dictionary_encode()
+        pieces = both.dictionary.to_pylist()
+        if self.of_piece.entries + len(pieces) > self.most_pieces:
+            self.forget_pieces()
+        self.learn_pieces([p for p in pieces if p not in self.pieces])
+        numbers = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))[np.asarray(both.indices)]
+        ids, width = self.of_piece.of(numbers.reshape(2, -1).T.ravel())
+        if simple.all():
+            self.of_word.add(ids, width.reshape(-1, 2).sum(axis=1))
+            return
+        rest = [words[i] for i in np.flatnonzero(~simple).tolist()]
+        done = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        each = np.empty(len(words), np.int64)
+        each[simple], each[~simple] = width.reshape(-1, 2).sum(axis=1), [len(x) for x in done]
+        both_ids = np.empty(int(each.sum()), np.uint32)
+        mine = np.repeat(simple, each)
+        both_ids[mine], both_ids[~mine] = ids, [i for x in done for i in x]
+        self.of_word.add(both_ids, each)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Entries of ``of_word`` of distinct words, until the next call."""
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(found < 0)
         if len(self.known) + len(fresh) > self.most_words:
-            self.known.clear()
-            fresh = list(set().union(*lists))
-        if len(self.pieces) > self.most_pieces:
-            self.pieces = {"": b""}
-        simple, rest = [], []
-        for w in fresh:
-            m = SIMPLE.fullmatch(text := w.decode())
-            simple.append((w, m[1].lower(), m[2])) if m else rest.append((w, text))
-        self.learn_pieces(list({p for _, *parts in simple for p in parts}.difference(self.pieces)))
-        pieces = self.pieces
-        self.known.update((w, pieces[a] + pieces[b]) for w, a, b in simple)
-        done = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-        self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for (w, _), e in zip(rest, done, strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in lists]
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        return self.words([(t or "").encode().split() for t in texts])
+            self.forget_words()
+            fresh = np.arange(len(words))
+        if len(fresh):
+            found[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.learn([words[i] for i in fresh.tolist()])
+        return found
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, and how many each has; nulls have none."""
+        counts, at, words = numbered_words(texts)
+        entries = self.numbers(words)[at]
+        ids, width = self.of_word.of(entries)
+        return ids, sums(width, counts)
+
+
+def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """How many words each text has, the number of each word in turn, and the distinct words by number.
+
+    Words are runs between ASCII white space; nulls have none.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    counts = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    at, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    if "" in words:  # before a text's first white space, or after its last
+        empty = words.index("")
+        real = at != empty
+        counts = sums(real.astype(np.int64), counts)
+        at = at[real]
+        at -= at > empty
+        del words[empty]
+    return counts, at, words
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``counts`` values each."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    stop = np.cumsum(counts)
+    return total[stop] - total[stop - counts]
 
 
 @lru_cache(maxsize=2)
@@ -167,12 +256,14 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.texts(part.column("text").to_pylist()), strict=True):
-                    ids += end
-                    tokens, start = len(ids) // 4, 0
-                    for n in cuts(tokens, capacity):
-                        rows.extend(bins.add((doc, start, ids[4 * start : 4 * (start + n)], tokens)))
+            for part in slices(batch, "text", 2 * SLICE_BYTES):
+                flat, counts = encoder.texts(part.column("text"))
+                flat, stop = flat.astype("<u4", copy=False).tobytes(), 0
+                for doc, n_ids in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                    ids, stop = flat[4 * stop : 4 * (stop + n_ids)] + end, stop + n_ids
+                    start = 0
+                    for n in cuts(n_ids + 1, capacity):
+                        rows.extend(bins.add((doc, start, ids[4 * start : 4 * (start + n)], n_ids + 1)))
                         start += n
                 if rows:
                     yield out()
