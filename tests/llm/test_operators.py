@@ -305,46 +305,135 @@ def test_lm(docs, rows, empty):
     assert lm.score_documents(empty, tokenizer_path()).count() == 0
 
 
-def small_model(seed=0):
-    rng = np.random.default_rng(seed)
-    vocabulary = 300
-    windows = rng.integers(0, vocabulary, (200, lm.SPAN + 1)) // 3
-    classes = lm.word_classes(windows, vocabulary)
-    state = np.where(np.arange(vocabulary) % 2 == 0, lm.CLASSES, classes)
-    state[-1] = lm.CLASSES
-    pair = np.unique(rng.integers(0, vocabulary * vocabulary, 4000))
-    return lm.train(classes, state, pair // vocabulary, pair % vocabulary, rng.integers(1, 9, len(pair)).astype(float), windows)
-
-
-def test_lm_keeps_every_pair():
-    vocabulary = 750
-    pair = np.arange(vocabulary * vocabulary)
-    state = np.arange(vocabulary) % lm.CLASSES
-    model = lm.train(state, state, pair // vocabulary, pair % vocabulary, np.ones(len(pair)), np.zeros((0, lm.SPAN + 1), np.int64))
-    assert np.array_equal(model.pairs, pair)
-
-
-def test_lm_is_a_distribution(monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 30)
-    model = small_model()
-    ids = np.random.default_rng(1).integers(0, 299, 70)
-    end = len(model.class_of) - 1
-    prefix = lm.text_scores(model, ids, np.array([70]))[0]
-    each = [lm.text_scores(model, np.append(ids[:20], v), np.array([21]))[0] for v in range(end + 1)]
-    before = lm.text_scores(model, ids[:20], np.array([20]))[0]
-    assert abs(sum(10 ** (e - before) for e in each) - 1) < 1e-3  # the next subword's probabilities
-    together = lm.text_scores(model, np.concatenate([ids[:5], ids]), np.array([5, 70]))
-    assert abs(together[1] - prefix) < 1e-3  # a neighbour doesn't matter
-
-
-def test_lm_context_is_causal(monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 5)
+def small_chunk(lists, vocabulary=300):
+    """Words of one subword each, the number of which is the word's."""
+    counts = np.array([len(x) + 1 for x in lists], np.int64)
+    at = np.concatenate([np.append(x, vocabulary) for x in lists]).astype(np.int64)
+    words = lm.Words(np.arange(vocabulary + 1), np.arange(vocabulary + 1), np.ones(vocabulary + 1, np.int64))
+    return lm.Chunk(np.ones(len(lists), bool), np.zeros(len(lists), bool), counts, at, lm.mixed(np.arange(1, vocabulary + 2, dtype=np.uint64)), words)
+
+
+def small_model(steps=30, vocabulary=300):
+    rng = np.random.default_rng(0)
+    class_of = rng.permutation(np.arange(vocabulary + 1) % lm.CLASSES)
+    mass = np.bincount(class_of, minlength=lm.CLASSES) + 1.0
+    training = lm.Training.begun(class_of, mass)
+    chunk = small_chunk([rng.integers(0, vocabulary, 400) // 3 for _ in range(20)], vocabulary)
+    windows = chunk.windows(1, 0)
+    for _ in range(steps):
+        training.fit(windows[rng.integers(0, len(windows), 32)], chunk.words, 0.01)
+    return lm.AttentionModel(training.e, training.p, class_of, mass)
+
+
+def test_lm_classes_are_a_distribution():
     model = small_model()
+    text = np.random.default_rng(1).integers(0, 300, 70)
+    one_of = [int(np.flatnonzero(model.class_of == k)[0]) for k in np.unique(model.class_of)]
+    for cut in (0, 1, 15, 16, 17, 33, 69):
+        each = [model.class_logs(small_chunk([np.append(text[:cut], w)]))[cut] for w in one_of]
+        assert len(one_of) == lm.CLASSES and abs(sum(map(np.exp, each)) - 1) < 1e-3
+    alone = model.class_logs(small_chunk([text]))
+    together = model.class_logs(small_chunk([text[:5], text, text[:33]]))
+    assert np.abs(together[6 : 6 + 71] - alone).max() < 1e-4  # neighbours don't matter
+    assert np.isfinite(together).all() and (together <= 1e-5).all()
+
+
+def test_lm_context_is_causal():
+    model = small_model(5)
     a = np.random.default_rng(2).integers(0, 299, 40)
     b = a.copy()
     b[30:] = (b[30:] + 1) % 299
-    first = [lm.text_scores(model, x[:30], np.array([30]))[0] for x in (a, b)]
-    assert first[0] == first[1]
+    first = [model.class_logs(small_chunk([x]))[:30] for x in (a, b)]
+    assert np.array_equal(*first)
+
+
+def test_lm_gradient_is_the_slope():
+    rng = np.random.default_rng(4)
+    chunk = small_chunk([rng.integers(0, 30, 200)], 30)
+    windows, class_of = chunk.windows(1, 0)[:4], rng.integers(0, lm.CLASSES, 31)
+
+    def loss(training):
+        p = training.p
+        x, y = training.e[windows[:, :-1]], class_of[windows[:, 1:]]
+        total = 0.0
+        for xs, ys in zip(x.astype(float), y, strict=True):
+            made = xs @ p["w"].astype(float)
+            for i in range(lm.SPAN):
+                s = np.array([made[i, : lm.WIDTH] @ made[j, lm.WIDTH : 2 * lm.WIDTH] * lm.WIDTH**-0.5 + p["near"][i - j] for j in range(i + 1)])
+                a = np.exp(s) / np.exp(s).sum()
+                o = a @ made[: i + 1, 2 * lm.WIDTH : 3 * lm.WIDTH]
+                z = np.tanh(made[i, 3 * lm.WIDTH :] + o @ p["o"] + p["b"]) @ p["out"] + p["b_out"]
+                total += np.log(np.exp(z).sum()) - z[ys[i]]
+        return total / y.size
+
+    for name in [*lm.SHAPES, "e"]:
+        training = lm.Training.begun(class_of, np.ones(lm.CLASSES))
+        training.fit(windows, chunk.words, 0.0)
+        slope = training.m[name] * 10  # the first step keeps a tenth of the gradient
+        at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        to = training.e if name == "e" else training.p[name]
+        low, high = [], []
+        for out, step in ((low, -1e-2), (high, 1e-2)):
+            kept = to[at]
+            to[at] += step
+            out.append(loss(training))
+            to[at] = kept
+        assert abs((high[0] - low[0]) / 2e-2 - slope[at]) < 0.05 * abs(slope[at]) + 1e-5, name
+
+
+def brute_lm_parts(rows):
+    """Counts of tokens and of pairs over training rows, and each row's tokens."""
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t, *_ in rows]
+    taught = [w for i, w in tokens if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    return tokens, Counter(x for w in taught for x in w), Counter(p for w in taught for p in zip([b"", *w], w, strict=False))
+
+
+@pytest.mark.parametrize("bucket", [1_000_000, 500])
+def test_lm_is_brute_force(docs, rows, monkeypatch, bucket):
+    """The score from its parts: the model's class probabilities, counts within classes, and what followed."""
+    made = {}
+    keep = lm.AttentionModel.__init__
+
+    def kept(self, *args):
+        keep(self, *args)
+        made["model"] = self
+
+    monkeypatch.setattr(lm.AttentionModel, "__init__", kept)
+    monkeypatch.setattr(lm, "FIRST_STEPS", 20)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", bucket)
+    found = {}
+    for r in lm.score_documents(docs, tokenizer_path()).collect():
+        found.setdefault(r.doc_id, []).append(round(r.score, 2))
+    encoder, model = packing.WordEncoder(tokenizer_path()), made["model"]
+    tokens, counts, pairs = brute_lm_parts(rows)
+    size = encoder.tokenizer.get_vocab_size()
+    ids_of = lambda w: ([size] if not w else encoder.tokenizer.encode(w.decode(), add_special_tokens=False).ids or [size + 1])
+    class_of = lambda w: model.class_of[ids_of(w)[0]]
+    mass = np.ones(lm.CLASSES)
+    for w, n in counts.items():
+        mass[class_of(w)] += n + 1
+    assert np.array_equal(mass, model.mass)
+    wanted = {}
+    for i, ws in tokens:
+        taught = i is not None and zlib.crc32(str(i).encode()) % 7 != 2
+        c = lm.Chunk.encoded(encoder, pa.array([b" ".join(ws[:-1]).decode()]), np.array([taught]), np.array([False]))
+        score = 0.0
+        for before, w, log in zip([b"", *ws], ws, model.class_logs(c), strict=False):
+            p = np.exp(log) * (counts[w] + 1) / mass[class_of(w)]
+            if counts[before] - taught > 0:
+                p = (1 - lm.FOLLOWED) * p + lm.FOLLOWED * (pairs[before, w] - taught) / (counts[before] - taught)
+            score += np.log10(p)
+        wanted.setdefault(i, []).append(round(float(score), 2))
+    assert found.keys() == wanted.keys()
+    for k, v in wanted.items():
+        assert np.allclose(sorted(found[k]), sorted(v), rtol=1e-4, atol=0.05)
+
+
+def test_lm_beats_its_base(spark):
+    """Held-out documents, of the smallest tables too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.score_documents(docs, tokenizer_path()).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got.score > got.base
 
 
 # 5
