@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspan.llm import decontam, langid, lines, packing, simhash
-from gridspan.llm.common import read
+from gridspan.llm.common import read, shared_folder
 from gridspan.llm.queries import tokenizer_path
 
 
@@ -21,12 +20,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with the lines that are left; ``n_chars`` follows the text."""
     done = lines.dedup_lines(docs)
-    new = {"text": F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(F.col("kept")), "n_chars": F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.char_length("kept"))}
-    return done.select(*[new.get(f.name, F.col(f"row.{f.name}")).cast(f.dataType).alias(f.name) for f in docs.schema])
+    old = lambda name: F.col("row").getField(name)  # noqa: E731  names may have dots
+    new = {"text": F.when(F.col("n_dropped") == 0, old("text")).otherwise(F.col("kept")), "n_chars": F.when(F.col("n_dropped") == 0, old("n_chars")).otherwise(F.char_length("kept"))}
+    return done.select(*[(new[f.name] if f.name in new else old(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates (word 5-grams, Jaccard similarity of 0.8) stays."""
     return simhash.one_of_each(docs)
 
 
@@ -48,10 +48,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage. The stages' tables are written below the shared folder that the session names."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridspan-pipeline-")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        at = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        at = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
     return docs
