@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker handles at a time; longer single texts are handled alone.
 SLICE_BYTES = 4_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or else the checkpoint directory that the context was given.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session that has none (a test) gets one of its own.
+    Only a session in a single process, such as a test's, gets a temporary one of its own; a cluster has to name it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridspan-checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared checkpoint folder, with its lineage cut."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridspan-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -53,3 +66,37 @@ def on_worker(spark: SparkSession, function, *arguments):
     """``function(*arguments)`` computed in one task: for fits on bounded samples, which then leave the driver alone."""
     sent = spark.sparkContext.broadcast(arguments)
     return spark.sparkContext.parallelize([0], 1).map(lambda _: function(*sent.value)).first()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers, each of as many bytes as the largest needs."""
+    kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
+    return kind.char.encode() + zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), blob[:1].decode())
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(31)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def grouped(batches, columns: tuple[str, ...], take: Callable) -> Iterator:
+    """``take(key, rows)`` of each run of rows with equal values in the first of ``columns``; rows: the values of the others."""
+    key, rows = None, []
+    for batch in batches:
+        for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if rows and values[0] != key:
+                yield from take(key, rows)
+                rows = []
+            key = values[0]
+            rows.append(values[1:])
+    if rows:
+        yield from take(key, rows)

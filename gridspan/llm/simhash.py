@@ -7,22 +7,28 @@ vectors, so two fingerprints that differ in r bits at most agree under some mask
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, slices
+from .common import bucket_of, checkpointed, grouped, mixed, packed, partitions, slices, unpacked
 from .graph import components
+from .packing import numbered_words, ragged
 
 RADIUS = 2
 #: Distinct fingerprints of a bucket that are compared directly; larger buckets go by shared one-bit neighbours.
 DIRECT = 256
 #: Document-level stage: words of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Documents (expected) whose shingles tell the common ones from the others. They set an order, never a result.
-ORDER_DOCS = 10_000
+#: Text bytes of a chunk and (expected) of a bucket of shingles; partners (expected) that a set is compared with in one task.
+CHUNK_BYTES, BUCKET_BYTES, PARTNERS = 8_000_000, 8_000_000, 1000
 
 
 def signed(x: int) -> int:
@@ -136,118 +142,228 @@ def near_fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     return base.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def prefix(distinct: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's ascending hashes in the order of (times, hash), so many that sets of that Jaccard similarity share one.
-
-    ``common`` (ascending) and ``times``: the hashes that come late in the order; all others have no times.
-    """
-    n = len(distinct)
-    take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-    if not n or not len(common):
-        return distinct[:take]
-    at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
-    return distinct[np.argsort(np.where(common[at] == distinct, times[at], 0), kind="stable")[:take]]
-
-
-def jaccard(a: str | None, b: str | None, width: int) -> float:
-    x, y = (np.unique(shingle_hashes(words_of(t), width)) for t in (a, b))
-    if not len(x) and not len(y):
-        return 1.0
+def class_text(texts: pa.Array) -> pa.Array:
+    """ASCII-lower-cased words joined by single spaces; nulls as empty texts."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    return pc.binary_join(pc.ascii_split_whitespace(bare), " ")
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (shingle, text) of class texts, ascending: 63-bit hashes of runs of ``words`` words (of all words, if a text
+    has fewer), and the texts' numbers."""
+    counts, at, distinct = numbered_words(texts)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = mixed(np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)))[at]
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    begin = np.cumsum(counts) - counts
+    long = counts >= words
+    start = ragged(begin[long], counts[long] - words + 1)
+    run = np.zeros(len(start), np.uint64)
+    for i in range(words):
+        run = run * factor + h[start + i]
+    of = np.repeat(np.flatnonzero(long), counts[long] - words + 1)
+    short = np.flatnonzero(~long & (counts > 0))
+    last = np.zeros(len(short), np.uint64)
+    for i in range(words - 1):
+        on = counts[short] > i
+        last[on] = (last[on] + np.uint64(i + 1)) * factor + h[begin[short][on] + i]
+    run, of = mixed(np.concatenate([run, last])) >> np.uint64(1), np.concatenate([of, short])
+    order = np.lexsort((of, run)) if len(short) else np.argsort(run, kind="stable")
+    run, of = run[order], of[order]
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | (of[1:] != of[:-1])])
+    return run[new], of[new]
+
+
+def take_prefix(size: int, similarity: float) -> int:
+    """How many of a set's first members, in any order common to all sets, sets that similar share one of at least."""
+    return size - int(np.ceil(similarity * size - 1e-9)) + 1 if size else 0
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of sets given ascending."""
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about ORDER_DOCS documents have, ascending, and how many have each."""
-    total = texts.count()
-    grain = 1 << 30
-    share = min(grain, -(-grain * ORDER_DOCS // max(1, total)))
-
-    def hashes(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = [np.unique(shingle_hashes(words_of(t), words)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+def candidates(run: np.ndarray, of: np.ndarray, times: np.ndarray, similarity: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, size, first members that others have too, whole set) of each text that can be similar to another one.
 
-    sample = texts.filter(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(grain)) < share).select("text").distinct()
-    got = sample.mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
-    h, n = np.asarray(got.column("h"), dtype=np.int64).view(np.uint64), np.asarray(got.column("n"), dtype=np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    ``times``: how many texts of the corpus have each member. The order is rare members first. A text that shares fewer
+    members with any others than the similarity needs is left out.
+    """
+    if not len(of):
+        return
+    size = np.bincount(of)
+    shared = np.bincount(of[times > 1], minlength=len(size))
+    able = (size > 0) & (shared >= np.ceil(similarity * size - 1e-9))
+    on = able[of]
+    run, of, times = run[on], of[on], times[on]
+    order = np.lexsort((run, times, of))
+    stop = np.cumsum(np.bincount(of, minlength=len(size)))
+    whole = run[np.lexsort((run, of))]
+    for text in np.flatnonzero(able).tolist():
+        mine = slice(int(stop[text] - size[text]), int(stop[text]))
+        first = order[mine][: take_prefix(int(size[text]), similarity)]
+        yield text, int(size[text]), run[first[times[first] > 1]], whole[mine]
+
+
+def asked_buckets(run: np.ndarray, buckets: int) -> Iterator[tuple[int, list[bytes]]]:
+    """For each bucket, a chunk's distinct members in it and how many of its texts have each; ``run`` ascends."""
+    if not len(run):
+        return
+    new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    keys, times = run[new], np.diff(np.append(new, len(run)))
+    cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    for bucket in np.flatnonzero(np.diff(cut)).tolist():
+        mine = slice(cut[bucket], cut[bucket + 1])
+        yield bucket, [packed(np.diff(keys[mine], prepend=np.uint64(0))), packed(times[mine])]
 
 
 def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near-duplicates, with its columns: the one with the smallest ``doc_id``.
 
     Documents with the same lower-cased words are copies. Others are linked if the Jaccard similarity of their sets of
-    ``words``-word shingles is ``similarity`` or more, which is verified on whole texts; groups are what links connect, and
-    all are found: in any common order of shingles, two sets that similar share one of their first n - ceil(similarity n) + 1
-    (n: a set's size). The order puts common shingles last. Documents that share such a shingle are first compared with the
-    smallest one of them; then all pairs of what that left apart are, so a large group isn't paired with itself. Null and
-    empty texts are copies of each other. Of rows equal in id and text one stays; an empty table stays empty.
+    ``words``-word shingles is ``similarity`` or more, which is verified on whole sets; groups are what links connect, and all
+    are found. A document is compared at all only if so many of its shingles occur elsewhere. Then, in any common order of
+    shingles, two sets that similar share one of their first n - ceil(similarity n) + 1 (n: a set's size); the order puts
+    shingles that fewer documents have first, counted over all documents. Documents whose fingerprints collide within
+    RADIUS under the covering masks, and documents that share a first shingle with the smallest one that has it, are compared
+    first; then all pairs of what that left apart are, so a large group isn't paired with itself.
+
+    Null and empty texts are copies of each other. A null id counts as the smallest. Rows equal in id go by a hash of all
+    their columns; of rows equal in all, one stays. An empty table stays empty; columns of any name stay.
     """
     spark = docs.sparkSession
-    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
-    base = base.withColumn("da", F.xxhash64("text")).withColumn("db", F.xxhash64(F.lit(1), "text"))
-    sent = spark.sparkContext.broadcast(common_shingles(base.select("text"), words))
+    columns = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema if "map" not in f.dataType.simpleString()]
+    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text"), F.xxhash64(*columns).alias("ka"), F.xxhash64(F.lit(1), *columns).alias("kb"))
 
-    def sketch(batches):
-        common, times = sent.value
+    def normalise(batches):
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text"):
-                out, first = [], []
-                for text in part.column("text").to_pylist():
-                    w = words_of(text)
-                    joined = b" ".join(w)
-                    h = np.unique(shingle_hashes(w, words))
-                    out.append((signed(xxhash.xxh64_intdigest(joined, 1)), signed(xxhash.xxh64_intdigest(joined, 2)), len(h)))
-                    first.append(prefix(h, common, times, similarity))
-                made = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                cut = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-                made.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(first).view(np.int64))))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "da", "db")), *made], names=["id", "da", "db", "ca", "cb", "n", "prefix"])
-
-    seen = base.select("id", "da", "db", "text").mapInArrow(sketch, "id long, da long, db long, ca long, cb long, n long, prefix array<long>")
-    node = F.struct(F.col("id"), F.col("da"), F.col("db"))
-    classes = seen.groupBy("ca", "cb").agg(F.min(node).alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("k"), "node", "n", "prefix"))
-
-    tokens = classes.select("k", F.explode("prefix").alias("token"))
+            for part in slices(batch, "text", CHUNK_BYTES):
+                texts = class_text(part.column("text"))
+                every = texts.to_pylist()
+                ca, cb = (np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in every), np.uint64, len(every)) for seed in (1, 2))
+                _, one = np.unique(np.stack([ca, cb], axis=1), axis=0, return_index=True)
+                own = [every[i].encode() for i in one.tolist()]
+                packs = [ca[one], cb[one], np.array(list(map(len, own)))]
+                row = [[chunk], [-1], [sum(map(len, own))], [[packed(x) for x in packs] + [zstandard.ZstdCompressor(level=1).compress(b"".join(own))]]]
+                keys = [pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("id", "ka", "kb")] + [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (ca, cb)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)] + keys, names=["chunk", "bucket", "size", "blobs", "id", "ka", "kb", "ca", "cb"])
+                chunk += 1
+
+    chunks = base.select("id", "ka", "kb", "text").mapInArrow(normalise, "chunk long, bucket long, size long, blobs array<binary>, " + ", ".join(f"{c} array<long>" for c in ("id", "ka", "kb", "ca", "cb")))
+    chunks = checkpointed(chunks)
+    every = chunks.select(F.explode(F.arrays_zip("id", "ka", "kb", "ca", "cb")).alias("x")).select("x.*")
+    classes = checkpointed(every.groupBy("ca", "cb").agg(F.min(F.struct("id", "ka", "kb")).alias("node")))
+    buckets = max(1, -(-(chunks.agg(F.sum("size").alias("size")).first()["size"] or 0) // BUCKET_BYTES))
+
+    def sets(blobs):
+        ca, cb, length, raw = *map(unpacked, blobs[:3]), zstandard.ZstdDecompressor().decompress(blobs[3])
+        texts = pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int64)), pa.py_buffer(raw)])
+        return ca, cb, *shingle_sets(texts.cast(pa.string()), words)
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, blobs in zip(batch.column("chunk").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
+                for bucket, mine in asked_buckets(sets(blobs)[2], buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int64()), pa.array([mine], pa.list_(pa.binary()))], names=["chunk", "bucket", "blobs"])
+
+    def answer(batches):
+        def take(bucket, asked):
+            parts = [[unpacked(b) for b in blobs] for _, blobs in asked]
+            keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+            _, of = np.unique(keys, return_inverse=True)
+            total = np.bincount(of, np.concatenate([p[1] for p in parts])).astype(np.int64)[of]
+            for (chunk, _), mine in zip(asked, np.split(total, np.cumsum([len(p[0]) for p in parts])[:-1]), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket]), pa.array([[packed(mine)]], pa.list_(pa.binary()))], names=["chunk", "bucket", "blobs"])
+
+        yield from grouped(batches, ("bucket", "chunk", "blobs"), take)
+
+    schema = "chunk long, bucket long, blobs array<binary>"
+    asked = chunks.select("chunk", "blobs").mapInArrow(ask, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(answer, schema)
+
+    def choose(batches):
+        def take(chunk, parts):
+            parts.sort(key=lambda r: r[0])
+            ca, cb, run, of = sets(parts[0][1])
+            if not len(run):
+                return
+            new = np.concatenate([[True], run[1:] != run[:-1]])
+            times = np.concatenate([unpacked(blobs[0]) for _, blobs in parts[1:]])[np.cumsum(new) - 1]
+            found = list(candidates(run, of, times, similarity))
+            for low in range(0, len(found), 500):
+                text, size, first, whole = zip(*found[low : low + 500], strict=True)
+                text = list(text)
+                longs = [ca[text].view(np.int64), cb[text].view(np.int64), np.array(size), np.array([simhash(x << np.uint64(1)) for x in whole], np.uint64).view(np.int64)]
+                made = [pa.array(x, pa.int64()) for x in longs] + [pa.array([x.view(np.int64) for x in first], pa.list_(pa.int64())), pa.array([x.tobytes() for x in whole], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["ca", "cb", "n", "fp", "prefix", "members"])
+
+        yield from grouped(batches, ("chunk", "bucket", "blobs"), take)
+
+    together = chunks.select("chunk", "bucket", "blobs").union(answers).repartition(max(partitions(spark), chunks.rdd.getNumPartitions()), "chunk").sortWithinPartitions("chunk", "bucket")
+    chosen = together.mapInArrow(choose, "ca long, cb long, n long, fp long, prefix array<long>, members binary").dropDuplicates(["ca", "cb"])
+    sketches = checkpointed(chosen.withColumn("k", F.monotonically_increasing_id()))
+
+    tokens = sketches.select("k", F.explode("prefix").alias("token"))
     ends = tokens.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low <> high").select("token", "low")
-    shared = checkpointed(tokens.join(ends, "token"))
-    same = F.col("id").eqNullSafe(F.col("wid")) & F.col("da").eqNullSafe(F.col("wa")) & F.col("db").eqNullSafe(F.col("wb"))
+    shared = checkpointed(tokens.join(checkpointed(ends), "token"))
 
     def verify(batches):
-        for batch in batches:
-            for part in slices(batch, "x"):
-                ok = [jaccard(x, y, words) >= similarity for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        def take(key, rows):
+            own = None
+            ok = []
+            for _, a, b, members in rows:
+                if b is None:
+                    own = np.frombuffer(members, np.uint64)
+                elif jaccard(own, np.frombuffer(members, np.uint64)) >= similarity - 1e-9:
+                    ok.append((a, b))
+            if ok:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ok, strict=True)], names=["a", "b"])
+
+        yield from grouped(batches, ("part", "salt", "a", "b", "members"), take)
 
     def links(pairs):
-        """Those of the pairs (``a``, ``b``, ``c``: first shingles that both have) that are similar.
+        """Those of the pairs (``a``, ``b``, ``c``: first shingles that both have, or null) that are similar.
 
         Of two sets, the one whose first shingles end earlier in the order has at most its others in common besides ``c``.
+        A set goes once to each part of at most PARTNERS (expected) of its partners.
         """
-        of = classes.select("k", "node", "n")
-        both = pairs.join(of.select(F.col("k").alias("a"), F.col("node").alias("of_a"), F.col("n").alias("n_a")), "a").join(of.select(F.col("k").alias("b"), F.col("node").alias("of_b"), F.col("n").alias("n_b")), "b")
+        of = sketches.select("k", "n")
+        both = pairs.join(of.select(F.col("k").alias("a"), F.col("n").alias("n_a")), "a").join(of.select(F.col("k").alias("b"), F.col("n").alias("n_b")), "b")
         most = F.col("c") + F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-9) - 1
-        able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-        both = checkpointed(both.filter(able).select("a", "b", "of_a", "of_b"))
-        wanted = both.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("of_a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("of_b").alias("node")))).alias("w"))
-        wanted = wanted.select("a", "b", "w.side", F.col("w.node.id").alias("wid"), F.col("w.node.da").alias("wa"), F.col("w.node.db").alias("wb"))
-        texts = base.select("id", "da", "db", "text").join(wanted, same).groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("y"))
-        return checkpointed(texts.mapInArrow(verify, "a long, b long"))
-
-    near = links(shared.filter("k <> low").select(F.col("low").alias("a"), F.col("k").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
-    labels = components(near)
-    marked = shared.join(labels, shared.k == labels.node, "left").select("token", "k", F.coalesce("label", "k").alias("label"))
-    marked = checkpointed(marked)
+        able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (F.col("c").isNull() | (most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6))
+        both = checkpointed(both.filter(able).select("a", "b").distinct())
+        salts = checkpointed(both.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts")))
+        part = lambda salt: F.xxhash64("a", salt)
+        left = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sketches.select(F.col("k").alias("a"), "members"), "a")
+        left = left.select(part("salt").alias("part"), "salt", "a", F.lit(None).cast("long").alias("b"), "members")
+        right = both.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+        right = right.join(sketches.select(F.col("k").alias("b"), "members"), "b").select(part("salt").alias("part"), "salt", "a", "b", "members")
+        met = left.union(right).repartition(max(partitions(spark), sketches.rdd.getNumPartitions()), "part").sortWithinPartitions("part", "a", "salt", F.col("b").asc_nulls_first())
+        return checkpointed(met.mapInArrow(verify, "a long, b long"))
+
+    equal = sketches.groupBy("fp").agg(F.min("k").alias("least"))
+    equal = checkpointed(equal)
+    of_fp = lambda x: equal.select(F.col("fp").alias(x), F.col("least").alias(f"k_{x}"))
+    near = covering_links(equal.select("fp")).join(of_fp("a"), "a").join(of_fp("b"), "b").select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
+    near = near.union(sketches.join(equal, "fp").filter("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b")))
+    first = shared.filter("k <> low").select(F.col("low").alias("a"), F.col("k").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    found = links(first.union(near.withColumn("c", F.lit(None).cast("long"))))
+    labels = components(found)
+    marked = checkpointed(shared.join(labels, shared.k == labels.node, "left").select("token", "k", F.coalesce("label", "k").alias("label")))
     apart = marked.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
     rest = checkpointed(marked.join(apart, "token"))
     left, right = (rest.select("token", F.col("k").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
     across = left.join(right, "token").filter("a < b and label_a <> label_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    found = components(near.union(links(across)))
-    labelled = classes.join(found, classes.k == found.node, "left").select(F.coalesce(found.label, classes.k).alias("label"), classes.node.alias("node"))
-    stays = labelled.groupBy("label").agg(F.min("node").alias("node")).select(F.col("node.id").alias("wid"), F.col("node.da").alias("wa"), F.col("node.db").alias("wb"))
-    kept = base.select("row", "id", "da", "db").join(stays, same).groupBy("id", "da", "db").agg(F.first("row").alias("row"))
-    return kept.select("row.*")
+    labels = components(found.union(links(across)))
+
+    nodes = sketches.select("k", "ca", "cb").join(classes, ["ca", "cb"])
+    labelled = nodes.join(labels, nodes.k == labels.node, "inner").select("label", nodes.node.alias("of"), "ca", "cb")
+    least = checkpointed(labelled.groupBy("label").agg(F.min("of").alias("least")))
+    gone = labelled.join(least, "label").filter(~F.col("of").eqNullSafe(F.col("least"))).select("ca", "cb")
+    stays = classes.join(checkpointed(gone), ["ca", "cb"], "left_anti").select("node.ka", "node.kb")
+    return base.select("row", "ka", "kb").join(stays, ["ka", "kb"], "left_semi").dropDuplicates(["ka", "kb"]).select("row.*")
