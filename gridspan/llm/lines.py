@@ -29,9 +29,10 @@ def key_hash(key: Column) -> Column:
 def dedup_lines(docs: DataFrame, *, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``row`` (the input row as a struct), ``n_lines``, ``n_dropped`` and ``kept`` (the text that is left) of every row.
 
-    A key of ``least_length`` code points or more that at least ``least_docs`` rows hold loses its lines everywhere but in
-    the row with the largest id holding it (all such rows, if rows repeat an id; a null id is smaller than any). A null or
-    empty text is one empty line. An empty table gives no rows; columns of any other name stay untouched in ``row``.
+    A key of ``least_length`` code points or more that at least ``least_docs`` documents (distinct ids; all rows with a null
+    id are one) hold loses its lines everywhere but in the rows with the largest id holding it (a null id is smaller than
+    any). A null or empty text is one empty line. An empty table gives no rows; columns of any other name stay untouched in
+    ``row``.
     """
     base = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     base = base.withColumn("digest", F.xxhash64("text"))
@@ -40,7 +41,8 @@ def dedup_lines(docs: DataFrame, *, least_length: int = LEAST_LENGTH, least_docs
     hashes = F.transform(F.transform(lines, line_key), lambda k: F.when(F.char_length(k) >= least_length, key_hash(k)))
 
     each = base.select("id", F.explode(F.array_distinct(F.filter(hashes, long_enough))).alias("h"))
-    shared = each.groupBy("h.a", "h.b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= least_docs).select("a", "b", "keeper")
+    n = F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))
+    shared = each.groupBy("h.a", "h.b").agg(n.alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= least_docs).select("a", "b", "keeper")
     shared = checkpointed(shared)  # a side of its own exchange: adaptive execution can then split a hot key of the other side
 
     at = base.select("id", "digest", F.posexplode(hashes).alias("pos", "h")).filter(F.col("h").isNotNull()).select("id", "digest", "pos", "h.a", "h.b")
