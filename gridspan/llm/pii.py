@@ -28,7 +28,9 @@ IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9._~:/?#@!$&'()*+,;=%\[\]-]+")
-ACCOUNT = re.compile(r"[\x20#:.]*(?:(?:no|number|nr|id)[\x20#:.]*)?([A-Z]{0,2}[0-9][A-Z0-9]*(?:[\x20-][A-Z0-9]{2,})*)")
+#: A value has LONGEST letters and digits at most; the repetitions end beyond that, so that a long run isn't read again and again.
+LONGEST = 34
+ACCOUNT = re.compile(r"[\x20#:.]*(?:(?:no|number|nr|id)[\x20#:.]*)?([A-Z]{0,2}[0-9][A-Z0-9]{0,35}(?:[\x20-][A-Z0-9]{2,35}){0,18})")
 
 
 def luhn(digits: str) -> bool:
@@ -74,7 +76,7 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, in
             if at >= ip_end:
                 if m := IP.match(text, at):
                     ip_end = m.end()
-                    if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.groups()):
+                    if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.groups()):
                         found.append((at, 1, ip_end))
                 else:
                     ip_end = DIGITS.match(text, at).end()
@@ -98,7 +100,7 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, in
                     found.append((at, 4, end))
         elif (at == 0 or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)):
             value = re.sub("[^A-Z0-9]", "", m[1])
-            if sum(c.isdigit() for c in value) >= 8 and len(value) <= 34 and (not value[:2].isalpha() or iban(value)):
+            if sum(c.isdigit() for c in value) >= 8 and len(value) <= LONGEST and (not value[:2].isalpha() or iban(value)):
                 found.append((m.start(1), 5, m.end(1)))
     return sorted(set(found))
 
