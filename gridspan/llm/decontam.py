@@ -36,13 +36,14 @@ def words_of(text: str | None) -> list[str]:
 class Items:
     """A block's items as word numbers, and which items each seed word may mean."""
 
-    def __init__(self, rows: list[tuple[int, str]], least: float):
+    def __init__(self, rows: list[tuple[int, str, int]], least: float):
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.words, self.least = [], [], least
-        for item, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        self.ids, self.times, self.words, self.least = [], [], [], least
+        for item, text, times in sorted(rows):
             words = words_of(text)
             if words:
                 self.ids.append(item)
+                self.times.append(times)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -95,40 +96,55 @@ class Items:
                     if best is None or score > best[0]:
                         best = (score, start + low, end + low, equal)
             if best[0] >= need:
-                out.append((self.ids[item], best[0] / (MATCH * n), *best[1:]))
+                out += [(self.ids[item], best[0] / (MATCH * n), *best[1:])] * self.times[item]
         return out
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
-    """The best local alignment's score, its range in the passage, and its equal words."""
-    n, m = len(item), len(passage)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    steps = np.arange(m + 1, dtype=np.int32) * -GAP
-    for i in range(1, n + 1):
-        row = np.maximum(h[i - 1] + GAP, 0)
-        row[1:] = np.maximum(row[1:], h[i - 1, :-1] + np.where(passage == item[i - 1], MATCH, MISMATCH))
-        h[i] = np.maximum.accumulate(row + steps) - steps
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, end, equal = int(h[i, j]), int(j), 0
-    while i and j and h[i, j]:
-        same = item[i - 1] == passage[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            i, j, equal = i - 1, j - 1, equal + int(same)
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end, equal
+    """The best local alignment's score, its range in the passage, and its equal words.
+
+    Two rows are held at a time: the first pass gives the best score and its end, the second carries beginnings and equal
+    words along, over the part of the passage that an alignment of that score can reach.
+    """
+    best, last, end = 0, 0, 0
+    steps = np.arange(len(passage) + 1, dtype=np.int32) * -GAP
+    h = np.zeros(len(passage) + 1, np.int32)
+    for i, word in enumerate(item, 1):
+        row = np.maximum(h + GAP, 0)
+        row[1:] = np.maximum(row[1:], h[:-1] + np.where(passage == word, MATCH, MISMATCH))
+        h = np.maximum.accumulate(row + steps) - steps
+        if (top := int(h.max())) > best:
+            best, last, end = top, i, int(h.argmax())
+    if not best:
+        return 0, 0, 0, 0
+    begin = max(0, end - last - (MATCH * last - best) // -GAP)  # each word of the passage beyond the item's costs a gap
+    passage = passage[begin:end]
+    at = np.arange(len(passage) + 1)
+    steps, h, start, equal = steps[: len(at)], np.zeros(len(at), np.int32), at.copy(), np.zeros(len(at), np.int64)
+    for word in item[:last]:
+        same = passage == word
+        diagonal = h[:-1] + np.where(same, MATCH, MISMATCH)
+        row, begun, alike = h + GAP, start.copy(), equal.copy()
+        on = np.flatnonzero(diagonal >= row[1:]) + 1
+        row[on], begun[on], alike[on] = diagonal[on - 1], start[on - 1], equal[on - 1] + same[on - 1]
+        none = row <= 0
+        row[none], begun[none], alike[none] = 0, at[none], 0
+        reach = row + steps
+        top = np.maximum.accumulate(reach)
+        source = np.maximum.accumulate(np.where(reach == top, at, 0))
+        h, start, equal = top - steps, begun[source], alike[source]
+    return best, begin + int(start[-1]), end, int(equal[-1])
 
 
 def item_blocks(items: DataFrame, least: float):
-    """Each block of items, broadcast."""
+    """Each block of distinct items, broadcast."""
     spark = items.sparkSession
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
+    rows = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(-(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // (4 * BLOCK_WORDS)))
     for block in range(blocks):
-        got = [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+        got = [(r["item_id"], r["text"], r["times"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
         yield spark.sparkContext.broadcast(Items(got, least))
 
 
@@ -137,8 +153,9 @@ def contaminations(docs: DataFrame, items: DataFrame, *, least_score: float = LE
     document and test item whose alignment has ``least_score`` of the item's own score or more; its best passage counts.
 
     Words are lower-cased runs of letters, digits and underscores. Items with fewer than SHORT words match
-    where all of them stand in a row; items without words, or with a null id or text, take no part. A null or empty text has no match; a null doc_id stays null; repeated documents or items give repeated
-    rows; empty tables give no rows; other columns are ignored. Texts are read whole.
+    where all of them stand in a row; items without words, or with a null id or text, take no part. A null or empty text has
+    no match; a null doc_id stays null; repeated documents or items give repeated rows; empty tables give no rows; other
+    columns are ignored. Texts are read whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, equal_words long"
