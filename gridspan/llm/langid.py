@@ -20,8 +20,8 @@ from .common import on_worker, slices
 WIDTHS = (4, 3, 2)  # widest first: the table of a later offset covers a leading part of the filters
 FILTERS, EMBED, SPAN = 16, 12, 125
 WINDOW = SPAN + WIDTHS[0] - 1
-#: The labelled sample: documents of each language, windows of each document.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 800, 4
+#: The labelled sample: documents of each language, windows of each document, languages (the most frequent).
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MOST_LANGUAGES = 800, 4, 256
 STEPS, BATCH = 500, 96
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -144,13 +144,15 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteConvNet:
     """A network fitted on a bounded sample: about ``docs_per_language`` labelled documents of each language, chosen by a
-    hash of the id, and at most WINDOWS_PER_DOC windows spread evenly over each.
+    hash of the id, and at most WINDOWS_PER_DOC windows spread evenly over each. Of more than MOST_LANGUAGES values of
+    ``lang`` the most frequent are learned.
 
     Documents with a null text, id or language, or whose crc32 remainder by 5 is 0, are never looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
     if not counts:
         return train(np.zeros((0, WINDOW), np.uint8), [])
     grain = 1 << 30
