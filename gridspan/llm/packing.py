@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices
+from .common import slices
 
 CAPACITY = 4096
 SLACK = 64
 #: Words and pieces whose ids a worker keeps; a table starts anew beyond that.
-CACHED_WORDS, CACHED_PIECES = 400_000, 500_000
+CACHED_WORDS, CACHED_PIECES = 300_000, 300_000
 #: Latin letters whose lower case and composition are one to one, then ASCII punctuation but the apostrophe.
 SIMPLE = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, pieces_per_bin int"
@@ -256,7 +256,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            for part in slices(batch, "text", 2 * SLICE_BYTES):
+            for part in slices(batch, "text"):
                 flat, counts = encoder.texts(part.column("text"))
                 flat, stop = flat.astype("<u4", copy=False).tobytes(), 0
                 for doc, n_ids in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):

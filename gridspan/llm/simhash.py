@@ -28,7 +28,7 @@ DIRECT = 256
 #: Document-level stage: words of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Text bytes of a chunk and (expected) of a bucket of shingles; partners (expected) that a set is compared with in one task.
-CHUNK_BYTES, BUCKET_BYTES, PARTNERS = 8_000_000, 8_000_000, 1000
+CHUNK_BYTES, BUCKET_BYTES, PARTNERS = 4_000_000, 8_000_000, 1000
 
 
 def signed(x: int) -> int:
