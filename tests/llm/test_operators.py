@@ -207,6 +207,27 @@ def test_smith_waterman(a, b):
             h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
     score, start, end, equal = decontam.smith_waterman(np.array(a), np.array(b))
     assert score == max(map(max, h)) and 0 <= start <= end <= len(b) and equal <= end - start
+    assert 2 * equal >= score == decontam.smith_waterman(np.array(a), np.array(b[start:end]))[0]
+    assert not score or (b[start] in a and b[end - 1] in a)
+
+
+def test_smith_waterman_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    item = rng.integers(0, 5000, 3000)
+    passage = np.concatenate([rng.integers(5000, 9000, 2000), item[:1000], item[1100:], rng.integers(5000, 9000, 2000)])
+    tracemalloc.start()
+    found = decontam.smith_waterman(item, passage)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000  # 80 bytes or so a row and column, not 4 a cell
+    tracemalloc.stop()
+    assert found == (2 * 2900 - 100, 2000, 4900, 2900)
+
+
+def test_repeated_items_repeat_rows(spark):
+    items = spark.createDataFrame([(1, "one two three four five")] * 3 + [(2, None), (None, "one two three")], "item_id bigint, text string")
+    found = decontam.contaminations(table(spark, [(5, "zero one two three four five six")]), items).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in found] == [(5, 1, 1.0)] * 3
 
 
 # 3 and 8
@@ -239,6 +260,19 @@ def test_pii_base_is_the_pattern(text):
     assert [s for s in pii.scan(text, pii.anchors()) if s[1] < 4] == regex_pii(text)
 
 
+def test_long_runs_are_read_once():
+    import time
+
+    began = time.time()
+    automaton = pii.anchors()
+    assert [s[1:] for s in pii.scan("0" * 5000 + ".1.1.1", automaton)][-1] == (1, 5006)
+    for unit in ("ACCOUNT 1A ", "account no ", "0.", "1", "+1", "a@b", "a@b.c", "http://", "IBAN ", "4111 1111 ", "konto" + "A" * 40):
+        pii.scan(unit * (1_000_000 // len(unit)), automaton)
+    for unit in ("password", "password ", "token=", "AKIA", "f", "sk-", "-----BEGIN ", "PRIVATE KEY", "secret = 'abcdefgh' "):
+        secrets.scan(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 60
+
+
 def test_pii(docs, rows, empty):
     found = {}
     for r in pii.find_pii(docs).collect():
@@ -443,17 +477,19 @@ def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in (rng.normal(0, rng.choice([0.1, 1, 5]), 8))]) for i in range(600)]
     vectors += [(600 + i, vectors[3][1]) for i in range(40)]  # ties
-    vectors += [(700, None), (701, [1.0, None] + [0.0] * 6), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (704, [0.0] * 8), (None, [9.0] * 8), (750, [1.0, 2.0]), (751, [3.0, 1.0]), (800, [0.0] * 8), (50, vectors[50][1]), (705, [])]
+    vectors += [(700, None), (701, [1.0, None] + [0.0] * 6), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (704, [0.0] * 8), (None, [9.0] * 8), (750, [1.0, 2.0]), (751, [3.0, 1.0]), (800, [0.0] * 8), (50, vectors[50][1]), (50, vectors[51][1]), (705, [])]
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in vectors], "vec_id bigint, embedding array<double>, id string, v string").repartition(3)
     good = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()]
     wanted = []
-    for q, v in {i: v for i, v in good if i % 50 == 0}.items():
-        best = sorted((-int(v @ c), i) for i, c in good if i != q and len(c) == len(v))[:5]
+    for row, (q, v) in enumerate(good):
+        best = sorted((-int(v @ c), i) for at, (i, c) in enumerate(good) if at != row and len(c) == len(v))[: 5 * (q % 50 == 0)]
         wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(wanted)
     assert topk.top_k(df.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [1e17, 1.0]), (1, [3.0, 1e17])], "vec_id bigint, embedding array<double>")
     assert [r.score for r in topk.top_k(huge).collect()] == [2**63 - 1]
+    beyond = spark.createDataFrame([(0, [1e303, 1.0]), (1, [1.0, 0.0]), (2, [-1e303, 1.0]), (3, [0.0, 0.0]), (4, [1e308, 0.0])], "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in sorted(topk.top_k(beyond).collect(), key=lambda r: r.rank)] == [(1, 2**63 - 1), (3, 0), (2, -(2**63))]
 
 
 # 6
@@ -661,12 +697,12 @@ def brute_lines(rows):
     key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
     texts = [((i is not None, i or 0), (t or "").split("\n")) for i, t, *_ in rows]
     holders = {}
-    for n, (i, ls) in enumerate(texts):
+    for i, ls in texts:
         for k in {key(x) for x in ls}:
-            holders.setdefault(k, []).append((i, n))
+            holders.setdefault(k, set()).add(i)
     out = []
     for (i, ls), (doc, *_) in zip(texts, rows, strict=True):
-        drop = [len(k := key(x)) >= 20 and len(holders[k]) >= 3 and i != max(holders[k])[0] for x in ls]
+        drop = [len(k := key(x)) >= 20 and len(holders[k]) >= 3 and i != max(holders[k]) for x in ls]
         out.append((doc, len(ls), sum(drop), "\n".join(x for x, d in zip(ls, drop, strict=True) if not d)))
     return order(out)
 
@@ -679,6 +715,8 @@ def test_lines(spark, docs, rows, empty):
     more = [(i, f"{line}\n x\n{line}\n") for i in range(5)] + [(9, line.lower())] + [(2, line)]
     found = lines.dedup_lines(table(spark, more)).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()
     assert order(map(tuple, found)) == brute_lines(more)
+    twice = [(1, line), (1, f"{line}\nx"), (2, line)]  # two documents
+    assert sorted(r.n_dropped for r in lines.dedup_lines(table(spark, twice)).collect()) == [0, 0, 0]
 
 
 # 10
