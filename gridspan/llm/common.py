@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker handles at a time; longer single texts are handled alone.
 SLICE_BYTES = 4_000_000
+#: Bytes of the batches that go between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +59,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from here on, for memory's sake: rows are as long as texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

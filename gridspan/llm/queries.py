@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, fmindex, langid, lines, lm, packing, pii, secrets, simhash, topk
-from .common import read
+from .common import bounded_batches, read
 
 
 def tokenizer_path() -> str:
@@ -61,8 +62,17 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: bounded(f)
     for f in (
         op1_harmonic_packing, op2_benchmark_decontamination, op3_pii_anchors, op4_attention_scoring, op5_norm_bucket_top_k, op6_fm_index_dedup, op7_covering_simhash, op8_secret_ownership, op9_line_dedup, op10_byte_convnet,
     )

@@ -186,8 +186,10 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def candidates(run: np.ndarray, of: np.ndarray, times: np.ndarray, similarity: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(text, size, first members that others have too, whole set) of each text that can be similar to another one.
+def candidates(run: np.ndarray, of: np.ndarray, times: np.ndarray, similarity: float) -> Iterator[tuple[int, int, float, np.ndarray, np.ndarray]]:
+    """(text, members that others have too, rank, the first of these members in the order, whole set) of each text that can
+    be similar to another one. The rank is smaller for a text whose members many texts have, as of those that others are
+    edited copies of.
 
     ``times``: how many texts of the corpus have each member. The order is rare members first. A text that shares fewer
     members with any others than the similarity needs is left out.
@@ -197,6 +199,7 @@ def candidates(run: np.ndarray, of: np.ndarray, times: np.ndarray, similarity: f
     size = np.bincount(of)
     shared = np.bincount(of[times > 1], minlength=len(size))
     able = (size > 0) & (shared >= np.ceil(similarity * size - 1e-9))
+    rank = -np.bincount(of, np.log2(times), len(size)) / np.maximum(size, 1)
     on = able[of]
     run, of, times = run[on], of[on], times[on]
     order = np.lexsort((run, times, of))
@@ -205,7 +208,7 @@ def candidates(run: np.ndarray, of: np.ndarray, times: np.ndarray, similarity: f
     for text in np.flatnonzero(able).tolist():
         mine = slice(int(stop[text] - size[text]), int(stop[text]))
         first = order[mine][: take_prefix(int(size[text]), similarity)]
-        yield text, int(size[text]), run[first[times[first] > 1]], whole[mine]
+        yield text, int(shared[text]), float(rank[text]), run[first[times[first] > 1]], whole[mine]
 
 
 def asked_buckets(run: np.ndarray, buckets: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -226,10 +229,11 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
     Documents with the same lower-cased words are copies. Others are linked if the Jaccard similarity of their sets of
     ``words``-word shingles is ``similarity`` or more, which is verified on whole sets; groups are what links connect, and all
     are found. A document is compared at all only if so many of its shingles occur elsewhere. Then, in any common order of
-    shingles, two sets that similar share one of their first n - ceil(similarity n) + 1 (n: a set's size); the order puts
-    shingles that fewer documents have first, counted over all documents. Documents whose fingerprints collide within
-    RADIUS under the covering masks, and documents that share a first shingle with the smallest one that has it, are compared
-    first; then all pairs of what that left apart are, so a large group isn't paired with itself.
+    shingles, two sets that similar, which have t members in common at least, share one among the first n - t + 1 of each (n:
+    its size); the order puts shingles that fewer documents have first, counted over all documents. Documents whose
+    fingerprints collide within RADIUS under the covering masks, and documents that share such a shingle with the most common
+    one (by its shingles' counts) that has it, are compared first; then those pairs are that this left apart, so a large group
+    isn't paired with itself.
 
     Null and empty texts are copies of each other. A null id counts as the smallest. Rows equal in id go by a hash of all
     their columns; of rows equal in all, one stays. An empty table stays empty; columns of any name stay.
@@ -296,21 +300,33 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
             times = np.concatenate([unpacked(blobs[0]) for _, blobs in parts[1:]])[np.cumsum(new) - 1]
             found = list(candidates(run, of, times, similarity))
             for low in range(0, len(found), 500):
-                text, size, first, whole = zip(*found[low : low + 500], strict=True)
+                text, common, rank, first, whole = zip(*found[low : low + 500], strict=True)
                 text = list(text)
-                longs = [ca[text].view(np.int64), cb[text].view(np.int64), np.array(size), np.array([simhash(x << np.uint64(1)) for x in whole], np.uint64).view(np.int64)]
-                made = [pa.array(x, pa.int64()) for x in longs] + [pa.array([x.view(np.int64) for x in first], pa.list_(pa.int64())), pa.array([x.tobytes() for x in whole], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["ca", "cb", "n", "fp", "prefix", "members"])
+                longs = [ca[text].view(np.int64), cb[text].view(np.int64), np.array(list(map(len, whole))), np.array(common), np.array([simhash(x << np.uint64(1)) for x in whole], np.uint64).view(np.int64)]
+                made = [pa.array(x, pa.int64()) for x in longs] + [pa.array(rank, pa.float64()), pa.array([x.view(np.int64) for x in first], pa.list_(pa.int64())), pa.array([x.tobytes() for x in whole], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["ca", "cb", "n", "common", "fp", "rank", "prefix", "members"])
 
         yield from grouped(batches, ("chunk", "bucket", "blobs"), take)
 
     together = chunks.select("chunk", "bucket", "blobs").union(answers).repartition(max(partitions(spark), chunks.rdd.getNumPartitions()), "chunk").sortWithinPartitions("chunk", "bucket")
-    chosen = together.mapInArrow(choose, "ca long, cb long, n long, fp long, prefix array<long>, members binary").dropDuplicates(["ca", "cb"])
+    chosen = together.mapInArrow(choose, "ca long, cb long, n long, common long, fp long, rank double, prefix array<long>, members binary").dropDuplicates(["ca", "cb"])
     sketches = checkpointed(chosen.withColumn("k", F.monotonically_increasing_id()))
 
-    tokens = sketches.select("k", F.explode("prefix").alias("token"))
-    ends = tokens.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low <> high").select("token", "low")
-    shared = checkpointed(tokens.join(checkpointed(ends), "token"))
+    def needed(x, y):
+        """The members that two sets of these sizes have in common at least if they are similar."""
+        return F.ceil((x + y) * (similarity / (1 + similarity)) - 1e-6)
+
+    def early(pos, x, y):
+        """Whether a member at that place of its set (of size x) can be the first that both have."""
+        return pos <= x - needed(x, y)
+
+    col = F.col
+    first = F.posexplode("prefix").alias("pos", "token")
+    tokens = sketches.select("k", "n", "rank", (col("n") - col("common")).alias("others"), first).select("k", "n", "rank", "token", (col("others") + col("pos")).alias("pos"))
+    ends = tokens.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.min("n").alias("least")).filter("low <> high").select("token", "least")
+    shared = tokens.join(checkpointed(ends), "token").filter(early(col("pos"), col("n"), F.greatest(col("least"), F.ceil(similarity * col("n") - 1e-6))))
+    shared = checkpointed(shared.select("token", "k", "n", "rank", "pos"))
+    lows = shared.groupBy("token").agg(F.min(F.struct("rank", "k", "n", "pos")).alias("low"), F.min("k").alias("least"), F.max("k").alias("most")).filter("least <> most").select("token", "low")
 
     def verify(batches):
         def take(key, rows):
@@ -327,16 +343,11 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
         yield from grouped(batches, ("part", "salt", "a", "b", "members"), take)
 
     def links(pairs):
-        """Those of the pairs (``a``, ``b``, ``c``: first shingles that both have, or null) that are similar.
-
-        Of two sets, the one whose first shingles end earlier in the order has at most its others in common besides ``c``.
-        A set goes once to each part of at most PARTNERS (expected) of its partners.
-        """
-        of = sketches.select("k", "n")
-        both = pairs.join(of.select(F.col("k").alias("a"), F.col("n").alias("n_a")), "a").join(of.select(F.col("k").alias("b"), F.col("n").alias("n_b")), "b")
-        most = F.col("c") + F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-9) - 1
-        able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (F.col("c").isNull() | (most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6))
-        both = checkpointed(both.filter(able).select("a", "b").distinct())
+        """Those of the pairs (``a``, ``b``) that are similar. A set goes once to each part of at most PARTNERS (expected) of its partners."""
+        of = lambda x: sketches.select(col("k").alias(x), col("n").alias(f"n_{x}"), col("common").alias(f"common_{x}"))
+        both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+        able = F.least("common_a", "common_b", "n_a", "n_b") >= needed(col("n_a"), col("n_b"))
+        both = checkpointed(both.filter(able).select("a", "b"))
         salts = checkpointed(both.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts")))
         part = lambda salt: F.xxhash64("a", salt)
         left = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sketches.select(F.col("k").alias("a"), "members"), "a")
@@ -351,14 +362,15 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
     of_fp = lambda x: equal.select(F.col("fp").alias(x), F.col("least").alias(f"k_{x}"))
     near = covering_links(equal.select("fp")).join(of_fp("a"), "a").join(of_fp("b"), "b").select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
     near = near.union(sketches.join(equal, "fp").filter("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b")))
-    first = shared.filter("k <> low").select(F.col("low").alias("a"), F.col("k").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    found = links(first.union(near.withColumn("c", F.lit(None).cast("long"))))
+    star = shared.join(checkpointed(lows), "token").filter((col("k") != col("low.k")) & early(col("pos"), col("n"), col("low.n")) & early(col("low.pos"), col("low.n"), col("n")))
+    found = links(star.select(col("low.k").alias("a"), col("k").alias("b")).union(near))
     labels = components(found)
-    marked = checkpointed(shared.join(labels, shared.k == labels.node, "left").select("token", "k", F.coalesce("label", "k").alias("label")))
+    marked = checkpointed(shared.join(labels, shared.k == labels.node, "left").select("token", "k", "n", "pos", F.coalesce("label", "k").alias("label")))
     apart = marked.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
     rest = checkpointed(marked.join(apart, "token"))
-    left, right = (rest.select("token", F.col("k").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    across = left.join(right, "token").filter("a < b and label_a <> label_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    left, right = (rest.select("token", *[col(c).alias(f"{c}_{x}") for c in ("k", "n", "pos", "label")]) for x in "ab")
+    meet = (col("k_a") < col("k_b")) & (col("label_a") != col("label_b")) & early(col("pos_a"), col("n_a"), col("n_b")) & early(col("pos_b"), col("n_b"), col("n_a"))
+    across = left.withColumnRenamed("token", "of").join(right, (col("of") == col("token")) & meet).select(col("k_a").alias("a"), col("k_b").alias("b"))
     labels = components(found.union(links(across)))
 
     nodes = sketches.select("k", "ca", "cb").join(classes, ["ca", "cb"])
