@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspan.llm import decontam, langid, lines, packing, simhash
-from gridspan.llm.common import read, shared_folder
+from gridspan.llm.common import bounded_batches, read, shared_folder
 from gridspan.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; texts without letters go."""
+    bounded_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -27,16 +28,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (word 5-grams, Jaccard similarity of 0.8) stays."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a test item go."""
+    bounded_batches(spark)
     return decontam.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of what is left."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
