@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Doubles from here on are whole; the weight of a number's upper half.
+WHOLE, HALF = 2.0**53, 2.0**32
 ROUNDINGS = ("nearest-even", "towards-zero", "towards-positive", "towards-negative", "nearest-away")
 RANGES = {f"int{b}": (-(1 << (b - 1)), (1 << (b - 1)) - 1) for b in (8, 16, 32, 64)} | {f"uint{b}": (0, (1 << b) - 1) for b in (8, 16, 32, 64)}
 
@@ -26,17 +28,24 @@ def spark_type(name: str) -> str:
 def rounded(v: Column, rounding: str = "nearest-even") -> Column:
     """A double rounded to a whole number, still a double."""
     v = v.cast("double")
-    if rounding == "nearest-even":
-        return F.rint(v)
-    if rounding == "towards-zero":
-        return F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
-    if rounding == "towards-positive":
-        return F.ceil(v).cast("double")
-    if rounding == "towards-negative":
-        return F.floor(v).cast("double")
-    if rounding == "nearest-away":
-        return F.signum(v) * F.floor(F.abs(v) + F.lit(0.5)).cast("double")
-    raise ValueError(f"no rounding {rounding!r}")
+    down = F.floor(F.abs(v)).cast("double")
+    ways = {
+        "nearest-even": F.rint(v),
+        "towards-zero": F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double"),
+        "towards-positive": F.ceil(v).cast("double"),
+        "towards-negative": F.floor(v).cast("double"),
+        "nearest-away": F.signum(v) * (down + F.when(F.abs(v) - down >= 0.5, 1.0).otherwise(0.0)),
+    }
+    if rounding not in ways:
+        raise ValueError(f"no rounding {rounding!r}")
+    return F.when(F.abs(v) >= WHOLE, v).otherwise(ways[rounding])
+
+
+def whole_decimal(w: Column) -> Column:
+    """A whole double below 2^95 as a decimal, exactly: its text has 17 digits only, its two halves are whole numbers."""
+    high = F.floor(w / HALF)
+    low = (w - high.cast("double") * HALF).cast("bigint")
+    return (high.cast("decimal(20,0)") * F.lit(Decimal(int(HALF))).cast("decimal(10,0)") + low.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def cast_value(v: Column, target: str, *, source: str = "float64", rounding: str = "nearest-even", out_of_range: str = "error", scalar_map: list[tuple[object, object]] | None = None) -> Column:
@@ -55,14 +64,15 @@ def cast_value(v: Column, target: str, *, source: str = "float64", rounding: str
         bottom, top = F.lit(float(low)), F.lit(float(high) if int(float(high)) <= high else math.nextafter(float(high), 0))
         bad = F.isnan(v)
         if out_of_range == "clamp":
-            out = F.when(whole > top, most).when(whole < bottom, least).otherwise(F.least(F.greatest(whole, bottom), top).cast("decimal(38,0)"))
+            out = F.when(whole > top, most).when(whole < bottom, least).otherwise(whole_decimal(F.least(F.greatest(whole, bottom), top)))
         elif out_of_range == "wrap":
             bad = bad | (F.abs(v) == math.inf)
-            low_bits = F.pmod(whole, F.lit(float(high - low + 1))).cast("decimal(38,0)")
+            rest = whole_decimal(F.when(bad, 0.0).otherwise(whole) % F.lit(float(high - low + 1)))  # a remainder of doubles is exact
+            low_bits = F.when(rest < 0, rest + span).otherwise(rest)
             out = F.when(low_bits > most, low_bits - span).otherwise(low_bits)
         else:
             bad = bad | (whole < bottom) | (whole > top)
-            out = F.when(~bad, whole).cast("decimal(38,0)")
+            out = whole_decimal(F.when(bad, 0.0).otherwise(whole))
     else:
         exact, bad = v.cast("decimal(38,0)"), F.lit(False)
         if out_of_range == "clamp":
@@ -80,6 +90,49 @@ def cast_value(v: Column, target: str, *, source: str = "float64", rounding: str
     return out if cases is None else cases.otherwise(out)
 
 
+def mapped(key: object) -> float | int:
+    """A number of a scalar map; JSON has some as texts."""
+    return float(key.replace("Infinity", "inf")) if isinstance(key, str) else key
+
+
+def cast_array(x: np.ndarray, target: str, rounding: str = "nearest-even", out_of_range: str = "error", pairs=()) -> np.ndarray:
+    """``cast_value`` and ``cast_float`` for numpy arrays of any numeric type."""
+    if out_of_range not in ("error", "clamp", "wrap") or rounding not in ROUNDINGS:
+        raise ValueError(f"no rule {out_of_range!r}, {rounding!r}")
+    taken, given = np.zeros(x.shape, bool), np.zeros(x.shape, target)
+    for key, value in ((mapped(k), mapped(v)) for k, v in pairs):
+        hit = ~taken & (np.isnan(x) if key != key else x == key)
+        given[hit], taken = value, taken | hit
+    rest = np.where(taken, x.dtype.type(0), x)
+    kind = np.dtype(target)
+    if kind.kind == "f":
+        narrower = rest.dtype.kind == "f" and rest.dtype.itemsize > kind.itemsize
+        return np.where(taken, given, narrow_float(rest, target, rounding, out_of_range) if narrower else rest.astype(target))
+    low, high = RANGES[target]
+    if rest.dtype.kind == "f":
+        v = rest.astype(np.float64)
+        finite = np.where(np.isfinite(v), v, 0.0)
+        t = np.trunc(finite)
+        away = t + np.copysign(np.abs(finite - t) >= 0.5, finite)
+        whole = {"nearest-even": np.rint(v), "towards-zero": np.trunc(v), "towards-positive": np.ceil(v), "towards-negative": np.floor(v), "nearest-away": np.where(np.isfinite(v), away, v)}[rounding]
+        over, under = whole >= float(high + 1), whole < float(low)
+        bad = np.isnan(v) | (np.isinf(v) if out_of_range == "wrap" else (over | under) & (out_of_range == "error"))
+        inside = np.fmod(np.where(np.isfinite(whole), whole, 0.0), 2.0**64)
+        upper = np.floor(inside / HALF)
+        bits = (upper.astype(np.int64).astype(np.uint64) << np.uint64(32)) + (inside - upper * HALF).astype(np.uint64)
+        out = bits.astype(target)
+        if out_of_range == "clamp":
+            out = np.where(over, np.array(high, target), np.where(under, np.array(low, target), out))
+    else:
+        own = RANGES.get(rest.dtype.name, (0, 1))
+        clamped = np.clip(rest, max(low, own[0]), min(high, own[1]))
+        bad = (clamped != rest) & (out_of_range == "error")
+        out = (clamped if out_of_range == "clamp" else rest).astype(target)
+    if (bad & ~taken).any():
+        raise OverflowError(f"not a value of {target}: {x[bad & ~taken][0]}")
+    return np.where(taken, given, out)
+
+
 def narrow_float(x: np.ndarray, target: str, rounding: str = "nearest-even", out_of_range: str = "error") -> np.ndarray:
     """Floats in a narrower float type. NaN and signed zero stay; a finite value that becomes infinite is an error unless
     clamped; modes other than nearest step one unit where the nearest lies on the wrong side."""
@@ -133,9 +186,13 @@ def store_exactly(v: Column, target: str) -> Column:
     if target == "bool":
         return (v != 0) | F.isnan(v)
     low, high = RANGES[target]
+    no = F.raise_error(F.concat(F.lit(f"{target} can't hold "), v.cast("string")))
     d = v.cast("double")
-    ok = (d == F.rint(d)) & (d >= float(low)) & (d <= float(high))
-    return F.when(ok, d.cast("decimal(20,0)").cast(spark_type(target))).otherwise(F.raise_error(F.concat(F.lit(f"{target} can't hold "), v.cast("string"))))
+    inside = (d == rounded(d)) & (d >= float(low)) & (d < float(high + 1))  # both ends are powers of two, or zero
+    of_float = F.when(inside, whole_decimal(F.when(inside, d).otherwise(0.0))).otherwise(no)
+    exact = v.cast("decimal(38,0)")
+    of_whole = F.when((exact == v) & exact.between(Decimal(low), Decimal(high)), exact).otherwise(no)
+    return F.when(F.typeof(v).isin("float", "double"), of_float).otherwise(of_whole).cast(spark_type(target))
 
 
 def promoted(a: str, b: str) -> str:
