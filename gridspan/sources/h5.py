@@ -203,8 +203,7 @@ def read_virtual(spark, f: H5File, ds: H5Dataset, folders: tuple[str, ...] = (),
     if not parts:
         empty = spark.createDataFrame([], T.StructType([*[T.StructField(d, T.LongType()) for d in ds.dims], T.StructField("v", ds.type.spark())]))
         return assemble.filled(ArrayFrame(empty, ds.dims, ds.shape), fill)
-    zero = (0,) * len(ds.shape)
-    return assemble.overlay([(p, zero) for p in parts], ds.shape, fill)
+    return assemble.filled(assemble.stacked(parts), fill)
 
 
 def _sources(f: H5File, file: str, name: str, folders):

@@ -5,7 +5,6 @@ Everything here is metadata or one chunk; bulk data is read by the ``h5array`` s
 
 from __future__ import annotations
 
-import mmap
 import struct
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import types as T
 
 from ..functions import codecs
+from .stores import open_bytes
 
 SIGNATURE = b"\x89HDF\r\n\x1a\n"
 
@@ -97,8 +97,7 @@ def _any_float(raw: np.ndarray, t: H5Type) -> np.ndarray:
 class H5File:
     def __init__(self, path: str):
         self.path = path
-        self.handle = open(path, "rb")  # noqa: SIM115
-        self.data = mmap.mmap(self.handle.fileno(), 0, access=mmap.ACCESS_READ)
+        self.data = open_bytes(path)
         at = 0
         while self.data[at : at + 8] != SIGNATURE:
             at = at * 2 or 512

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import urllib.error
 import urllib.request
 import zipfile
+from collections import OrderedDict
 
 from pyarrow import fs
 
@@ -26,11 +28,70 @@ class Store:
     def delete(self, key: str) -> None:
         raise PermissionError("this store can't be written")
 
+    def move(self, key: str, to: str) -> None:
+        """Another name for a key's bytes, in place of what has that name."""
+        self.put(to, self.get(key))
+        self.delete(key)
+
     def size(self, key: str) -> int | None:
         data = self.get(key)
         return None if data is None else len(data)
 
 
+class Pages:
+    """A key's bytes as a sequence: aligned pages are fetched by range as they are asked for, missing neighbours in one
+    request, and the last used ones are kept."""
+
+    def __init__(self, store: Store, key: str, page: int = 64 << 10, most: int = 512):
+        self.store, self.key, self.page, self.most = store, key, page, most
+        self.size, self.held = store.size(key), OrderedDict()
+        if self.size is None:
+            raise FileNotFoundError(key)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self[at : at + 1][0]
+        start, stop, _ = at.indices(self.size)
+        if stop <= start:
+            return b""
+        first, last = start // self.page, (stop - 1) // self.page
+        pages = {}
+        n = first
+        while n <= last:
+            if n in self.held:
+                pages[n] = self.held[n]
+                self.held.move_to_end(n)
+                n += 1
+                continue
+            end = n + 1
+            while end <= last and end not in self.held:
+                end += 1
+            data = self.store.get(self.key, n * self.page, min(end * self.page, self.size) - n * self.page)
+            for k in range(n, end):
+                pages[k] = self.held[k] = data[(k - n) * self.page : (k - n + 1) * self.page]
+            n = end
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        data = b"".join(pages[k] for k in range(first, last + 1))
+        return data[start - first * self.page : stop - first * self.page]
+
+
+def remote(path: str) -> bool:
+    return "://" in path and not path.startswith("file://")
+
+
+def open_bytes(path: str):
+    """A file's bytes as a sequence: mapped if it is local, by pages if it is behind a URI."""
+    if remote(path):
+        folder, _, name = path.rpartition("/")
+        return Pages(open_store(folder), name)
+    with open(path.removeprefix("file://"), "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 def _cut(data: bytes, offset: int, length: int | None) -> bytes:
     start = max(0, len(data) + offset) if offset < 0 else offset
     return data[start:] if length is None else data[start : start + length]
@@ -50,7 +111,8 @@ class MemoryStore(Store):
         self.content[key] = data
 
     def delete(self, key):
-        self.content.pop(key, None)
+        for k in [k for k in self.content if k == key or k.startswith(f"{key}/")]:
+            del self.content[k]
 
 
 class FileStore(Store):
@@ -110,6 +172,11 @@ class FileStore(Store):
             f.write(data)
         self.files.move(aside, path)
 
+    def move(self, key, to):
+        path = self._path(to)
+        self.files.create_dir(path.rpartition("/")[0], recursive=True)
+        self.files.move(self._path(key), path)
+
     def delete(self, key):
         info = self.files.get_file_info(self._path(key))
         if info.type == fs.FileType.File:
@@ -171,6 +238,20 @@ class HttpStore(Store):
                 return b""
             raise
 
+    def size(self, key):
+        request = urllib.request.Request(f"{self.url}/{urllib.request.quote(key)}", headers=self.headers | {"Range": "bytes=0-0"})
+        try:
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                if answer.status == 206:
+                    return int(answer.headers["Content-Range"].rpartition("/")[2])
+                return int(answer.headers["Content-Length"]) if "Content-Length" in answer.headers else len(answer.read())
+        except urllib.error.HTTPError as e:
+            if e.code in (404, 410):
+                return None
+            if e.code == 416:
+                return 0
+            raise
+
     def keys(self, prefix=""):
         raise NotImplementedError("an HTTP store can't list its keys")
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 import base64
 import json
 import math
+import uuid
 from bisect import bisect_left, bisect_right
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from decimal import Decimal
 from itertools import product
@@ -218,7 +220,7 @@ def _filter_encode(codec: dict, x: np.ndarray) -> np.ndarray:
     if name == "bitround":
         return casts.round_bits(x, int(conf["keepbits"])).astype(x.dtype)
     if name == "cast_value":
-        return x.astype(conf["data_type"])
+        return _cast(conf, x, conf["data_type"], "encode")
     if name == "reshape":
         return x.reshape(_reshaped(conf["shape"], x.shape))
     raise ValueError(f"no filter {name!r}")
@@ -234,11 +236,17 @@ def _filter_decode(codec: dict, x: np.ndarray, shape: tuple[int, ...], dtype: np
         return (x / conf["scale"] + conf["offset"]).astype(conf.get("dtype", dtype))
     if name in ("quantize", "bitround"):
         return x.astype(dtype)
-    if name in ("astype", "cast_value"):
+    if name == "cast_value":
+        return _cast(conf, x, dtype.name, "decode")
+    if name == "astype":
         return x.astype(conf.get("decode_dtype", dtype))
     return x.reshape(shape)
 
 
+def _cast(conf: dict, x: np.ndarray, target: str, way: str) -> np.ndarray:
+    return casts.cast_array(x, target, conf.get("rounding", "nearest-even"), conf.get("out_of_range") or "error", (conf.get("scalar_map") or {}).get(way, ()))
+
+
 def _order(order, rank: int) -> list[int]:
     return list(range(rank)) if order == "C" else list(reversed(range(rank))) if order == "F" else list(order)
 
@@ -613,27 +621,35 @@ class ZarrReader(BoxReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    keys: list[str]
+    moves: list[tuple[str, str]]  # from the attempt's folder to the chunk's key
+    gone: list[str]
 
 
 class ZarrWriter(DataSourceArrowWriter):
-    """Chunks of rows that arrive together, chunk by chunk (``write_array`` deals and sorts them so)."""
+    """Chunks of rows that arrive together, chunk by chunk (``write_array`` deals and sorts them so).
 
-    def __init__(self, path: str, array: str, empty_chunks: bool):
-        self.path, self.base, self.empty = path, f"{array.strip('/')}/" if array.strip("/") else "", empty_chunks
-        self.meta = open_array(open_store(path), array)
+    An attempt writes its chunks below a folder of its own. They are moved into place, and chunks that became all fill
+    deleted, when all tasks are done; a failed job leaves the array as it was. With ``document`` the array is created, or
+    replaced, at that moment too.
+    """
+
+    def __init__(self, path: str, array: str, empty_chunks: bool, document: str | None = None):
+        self.path, self.base, self.empty, self.document = path, f"{array.strip('/')}/" if array.strip("/") else "", empty_chunks, document
+        self.meta = parse_v3(json.loads(document)) if document else open_array(open_store(path), array)
+        self.staged = f"{self.base}.staged-{uuid.uuid4().hex}/"
 
     def write(self, iterator):
-        store, meta, keys = open_store(self.path), self.meta, []
-        now, held = None, None
+        store, meta, done = open_store(self.path), self.meta, Written([], [])
+        now, held, attempt = None, None, f"{self.staged}{uuid.uuid4().hex}/"
 
         def flush():
             key = f"{self.base}{meta.key(now)}"
             if is_fill(held, meta.fill) and not self.empty:
-                store.delete(key)
+                done.gone.append(key)
             else:
-                store.put(key, encode(meta.pipeline, held, meta.kind, meta.fill))
-                keys.append(key)
+                aside = f"{attempt}{meta.key(now)}"
+                store.put(aside, encode(meta.pipeline, held, meta.kind, meta.fill))
+                done.moves.append((aside, key))
 
         for batch in iterator:
             if not batch.num_rows:
@@ -648,19 +664,28 @@ class ZarrWriter(DataSourceArrowWriter):
                     if now is not None:
                         flush()
                     now = cell
-                    old = read_chunk(store, self.base, meta, cell)
+                    old = None if self.document else read_chunk(store, self.base, meta, cell)
                     held = full(tuple(meta.chunk_size(k, c) for k, c in enumerate(cell)), meta.kind, meta.fill) if old is None else old.copy()
                 origin = meta.origin(cell)
                 held[tuple(x[a:b] - o for x, o in zip(at, origin, strict=True))] = values[a:b] if at else values[0]
         if now is not None:
             flush()
-        return Written(keys)
+        return done
+
+    def commit(self, messages):
+        store, done = open_store(self.path), [m for m in messages if m]
+        if self.document:
+            for key in store.keys(self.base):
+                if not key.startswith(self.staged):
+                    store.delete(key)
+            store.put(f"{self.base}zarr.json", self.document.encode())
+        with ThreadPoolExecutor(16) as pool:  # each is a request to the store, not a copy through the driver
+            list(pool.map(lambda move: store.move(*move), [move for m in done for move in m.moves]))
+            list(pool.map(store.delete, [] if self.document else [key for m in done for key in m.gone]))
+        self.abort(messages)
 
     def abort(self, messages):
-        store = open_store(self.path)
-        for m in messages:
-            for key in m.keys if m else ():
-                store.delete(key)
+        open_store(self.path).delete(self.staged.rstrip("/"))
 
 
 class ZarrSource(DataSource):
@@ -692,7 +717,7 @@ class ZarrSource(DataSource):
 
     def writer(self, schema, overwrite):
         path, array = self._options()
-        return ZarrWriter(path, array, self.options.get("writeEmptyChunks", "false").lower() == "true")
+        return ZarrWriter(path, array, self.options.get("writeEmptyChunks", "false").lower() == "true", self.options.get("document"))
 
 
 def register(spark) -> None:
@@ -710,26 +735,28 @@ def read_array(spark, path: str, array: str = "", **options) -> ArrayFrame:
 
 
 def write_array(a: ArrayFrame, path: str, array: str = "", *, data_type: str, chunks, shards=None, width: int | None = None, overwrite: bool = True, **document) -> None:
-    """An array written with one task a group of chunks; a shard is one chunk here. Missing rows become the fill value."""
+    """An array written with one task a group of chunks; a shard is one chunk here. Missing rows become the fill value.
+
+    With ``overwrite`` the array there before is replaced once all chunks are written; otherwise chunks join those there.
+    """
     from pyspark.sql import functions as F
 
     spark = a.df.sparkSession
     register(spark)
     store, base = open_store(path), f"{array.strip('/')}/" if array.strip("/") else ""
     doc = make_document(a.shape, data_type, chunks, shards=shards, **document)
-    if overwrite:
-        for key in store.keys(base):
-            store.delete(key)
     parts = base.strip("/").split("/") if base else []
     for k in range(len(parts)):  # the groups above it
         key = "/".join([*parts[:k], "zarr.json"])
         if store.get(key) is None:
             store.put(key, json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {}}).encode())
-    store.put(f"{base}zarr.json", json.dumps(doc).encode())
+    if not overwrite:
+        store.put(f"{base}zarr.json", json.dumps(doc).encode())
     outer = shards or chunks
     names = [f"i{k}" for k in range(a.rank)]
     rows = a.df.select(*[F.col(d).alias(n) for d, n in zip(a.dims, names, strict=True)], a.v.alias("v"))
     cells = [F.expr(f"{n} div {c}") for n, c in zip(names, outer, strict=True)]
     if cells:
         rows = rows.repartition(width or int(spark.conf.get("spark.sql.shuffle.partitions")), *cells).sortWithinPartitions(*cells, *names)
-    rows.write.format("zarrarray").option("path", path).option("array", array).mode("append").save()
+    writer = rows.write.format("zarrarray").option("path", path).option("array", array)
+    (writer.option("document", json.dumps(doc)) if overwrite else writer).mode("append").save()
