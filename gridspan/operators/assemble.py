@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..array import ArrayFrame, full_grid
@@ -45,21 +45,35 @@ def concat(parts: list[ArrayFrame], dim: str) -> ArrayFrame:
 
 
 def overlay(parts: list[tuple[ArrayFrame, tuple[int, ...]]], shape: tuple[int, ...], fill: object | None = None) -> ArrayFrame:
-    """A virtual array: each part lies at its offset, a later part over an earlier one, fill where none lies."""
+    """A virtual array: each part lies at its offset, a later part over an earlier one, fill where none lies.
+
+    A part loses what lies under the boxes of later parts, by comparisons of coordinates; then all are side by side, so
+    nothing moves. Rows that a part lacks hold its fill, also over an earlier part.
+    """
     first = parts[0][0]
+    boxes = [[(o, min(o + n, s)) for o, n, s in zip(offset, p.shape, shape, strict=True)] for p, offset in parts]
     frames = []
     for number, (p, offset) in enumerate(parts):
-        columns = [(F.col(d) + o).alias(d) for d, o in zip(p.dims, offset, strict=True)]
-        frames.append(p.df.select(*columns, p.v.alias(first.value), F.lit(number).alias("__m")))
-    inside = F.lit(True)
-    for d, n in zip(first.dims, shape, strict=True):
-        inside = inside & (F.col(d) < n)
-    rows = reduce(DataFrame.union, frames).filter(inside)
-    last = rows.groupBy(*first.dims).agg(F.max_by(first.v, F.col("__m")).alias(first.value))
-    out = first.with_df(last, shape=tuple(shape))
+        columns = [(F.col(d) + o).alias(e) for d, e, o in zip(p.dims, first.dims, offset, strict=True)]
+        frame = p.df.select(*columns, p.v.alias(first.value))
+        for d, o, n, s in zip(first.dims, offset, p.shape, shape, strict=True):
+            if o + n > s:
+                frame = frame.filter(F.col(d) < s)
+        for later in boxes[number + 1 :]:
+            if all(max(a, x) < min(b, y) for (a, b), (x, y) in zip(boxes[number], later, strict=True)):
+                frame = frame.filter(~reduce(Column.__and__, [(F.col(d) >= a) & (F.col(d) < b) for d, (a, b) in zip(first.dims, later, strict=True)], F.lit(True)))
+        frames.append(frame)
+    out = first.with_df(reduce(DataFrame.union, frames), shape=tuple(shape))
     return out if fill is None else filled(out, fill)
 
 
+def stacked(parts: list[ArrayFrame]) -> ArrayFrame:
+    """Sparse arrays of one shape on top of each other: the last one that has a row for a place gives its value. One aggregation."""
+    first = parts[0]
+    rows = reduce(DataFrame.union, [p.df.select(*[F.col(d).alias(e) for d, e in zip(p.dims, first.dims, strict=True)], p.v.alias(first.value), F.lit(k).alias("__m")) for k, p in enumerate(parts)])
+    return first.with_df(rows.groupBy(*first.dims).agg(F.max_by(first.v, F.col("__m")).alias(first.value)))
+
+
 def ordinals(a: ArrayFrame, axes: list[Axis]) -> DataFrame:
     """``k`` (C order within the selection) and the value."""
     part = select(a, axes)
@@ -74,7 +88,7 @@ def map_positions(source: ArrayFrame, source_axes: list[Axis], target_axes: list
     columns, below = [], 1
     for d, axis in reversed(list(zip(dims, target_axes, strict=True))):
         within = F.expr(f"(k div {below}) % {max(axis.length, 1)}")
-        columns.append((F.floor(within / axis.block) * axis.stride + within % axis.block + axis.start).cast("bigint").alias(d))
+        columns.append((F.call_function("div", within, F.lit(axis.block)) * axis.stride + within % axis.block + axis.start).cast("bigint").alias(d))
         below *= max(axis.length, 1)
     return source.with_df(rows.select(*reversed(columns), source.value), dims=dims, shape=tuple(shape))
 
@@ -87,7 +101,7 @@ def _length(axes: list[Axis]) -> int:
 
 
 def write_box(a: ArrayFrame, offset: tuple[int, ...], values: ArrayFrame) -> ArrayFrame:
-    """The array with a box of new values; coordinates must be inside. One aggregation, not a join."""
+    """The array with a box of new values; coordinates must be inside. A filter and a union: nothing moves."""
     for o, n, s in zip(offset, values.shape, a.shape, strict=True):
         if o < 0 or o + n > s:
             raise IndexError("the box ends beyond the array")

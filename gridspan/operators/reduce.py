@@ -31,7 +31,8 @@ def block_mean(a: ArrayFrame, factors: tuple[int, ...], kind: str = "float") ->
     if kind == "float":
         out = F.sum(a.v.cast("double")) / n
     elif kind == "int":
-        out = F.floor((F.lit(2) * F.sum(a.v.cast("bigint")) + n) / (F.lit(2.0) * n)).cast("bigint")
+        twice = F.lit(2) * F.sum(a.v.cast("bigint")) + n
+        out = F.call_function("div", twice - F.pmod(twice, F.lit(2) * n), F.lit(2) * n)
     elif kind == "wide":
         two = F.lit(2).cast("decimal(2,0)")
         total = F.sum(a.v.cast("decimal(20,0)")).cast("decimal(31,0)") * two + n.cast("decimal(20,0)")

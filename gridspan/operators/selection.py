@@ -44,7 +44,7 @@ class Axis:
         at = i - self.start
         if self.stride == self.block or self.count <= 1:
             return at
-        return (F.floor(at / self.stride) * self.block + at % self.stride).cast("bigint")
+        return (F.call_function("div", at, F.lit(self.stride)) * self.block + at % self.stride).cast("bigint")
 
 
 def hyperslab(a: ArrayFrame, start, count, stride=None, block=None) -> ArrayFrame:
@@ -105,10 +105,10 @@ def slice_text(a: ArrayFrame, text: str) -> ArrayFrame:
 def points(a: ArrayFrame, where: list[tuple[int, ...]] | DataFrame, *, broadcast_rows: int = 200_000) -> DataFrame:
     """``k`` and the value of each listed point, in the given order (``k``), repeats kept.
 
-    A list goes as a small local table and is broadcast while it has ``broadcast_rows`` points at most; a DataFrame with a
-    ``k`` column and the dimensions joins as the planner decides.
+    A list goes as a small local table and is broadcast while it has ``broadcast_rows`` points at most; the box around its
+    points narrows the scan first. A DataFrame with a ``k`` column and the dimensions joins as the planner decides.
     """
-    spark = a.df.sparkSession
+    spark, rows = a.df.sparkSession, a.df
     if isinstance(where, DataFrame):
         table = where
     else:
@@ -118,7 +118,9 @@ def points(a: ArrayFrame, where: list[tuple[int, ...]] | DataFrame, *, broadcast
         table = spark.createDataFrame([(k, *p) for k, p in enumerate(where)], ", ".join(["k bigint", *(f"{d} bigint" for d in a.dims)]))
         if len(where) <= broadcast_rows:
             table = F.broadcast(table)
-    return a.df.join(table, list(a.dims)).select("k", a.value)
+        for d, axis in zip(a.dims, zip(*where, strict=True), strict=False):
+            rows = rows.filter((F.col(d) >= min(axis)) & (F.col(d) <= max(axis)))
+    return rows.join(table, list(a.dims)).select("k", a.value)
 
 
 def points_by_chunk(where: DataFrame, dims: tuple[str, ...], chunks: tuple[int, ...], width: int) -> DataFrame:

@@ -135,13 +135,17 @@ def consolidate(path: str) -> int:
 
 
 def resize(path: str, array: str, shape: tuple[int, ...]) -> None:
-    """A new shape: chunks wholly outside go, cells of edge chunks that a later growth would show again become fill."""
+    """A new shape: chunks wholly outside go, cells of edge chunks that a later growth would show again become fill.
+
+    Growing writes metadata alone.
+    """
     store = open_store(path)
     meta = zarr.open_array(store, array)
     if meta.version != 3 or len(shape) != len(meta.shape):
         raise ValueError("resizing needs a version 3 array and a shape of its rank")
     base = _at(array)
-    for cell in list(meta.cells()):
+    shrinks = any(n < old for n, old in zip(shape, meta.shape, strict=True))
+    for cell in list(meta.cells()) if shrinks else ():
         origin = meta.origin(cell)
         size = tuple(meta.chunk_size(k, c) for k, c in enumerate(cell))
         key = f"{base}{meta.key(cell)}"
