@@ -242,11 +242,11 @@ def consolidated_order(spark, sf_dir):
 # Assembly and joins
 
 
-@query("SELECT i0, coalesce(p_size, -1) AS v FROM range(0, 2100) AS r(i0) LEFT JOIN part ON i0 = p_partkey")
+@query("SELECT i0, coalesce(p_size, -1) AS v FROM (SELECT unnest(range(0, (SELECT count(*) + 100 FROM part))) AS i0) LEFT JOIN part ON i0 = p_partkey")
 def resize_grow(spark, sf_dir):
     a = parts(spark, sf_dir)
     a = ArrayFrame(a.df, a.dims, a.shape, fill=-1)
-    return assemble.resize(a, (2100,)).df
+    return assemble.resize(a, (a.shape[0] + 100,)).df
 
 
 @query("SELECT p_partkey AS i0, p_size AS v FROM part WHERE p_partkey < 150")
@@ -254,19 +254,19 @@ def resize_shrink(spark, sf_dir):
     return assemble.resize(parts(spark, sf_dir), (150,)).df
 
 
-@query("""WITH w AS (SELECT p_partkey AS i0, p_size AS v, 0 AS m FROM part WHERE p_partkey < 120
-UNION ALL SELECT p_partkey + 80, p_size * 10, 1 FROM part WHERE p_partkey < 100)
+@query("""WITH w AS (SELECT p_partkey AS i0, p_size AS v, 0 AS m FROM part
+UNION ALL SELECT p_partkey + 80, p_size * 10, 1 FROM part)
 SELECT i0, arg_max(v, m) AS v FROM w GROUP BY i0""")
 def virtual_overlay(spark, sf_dir):
-    a = selection.box(parts(spark, sf_dir), (0,), (120,))
-    b = selection.box(parts(spark, sf_dir, (F.col("p_size") * 10)), (0,), (100,))
-    return assemble.overlay([(a, (0,)), (b, (80,))], (180,)).df
+    a, b = parts(spark, sf_dir), parts(spark, sf_dir, F.col("p_size") * 10)
+    return assemble.overlay([(a, (0,)), (b, (80,))], (a.shape[0] + 80,)).df
 
 
-@query("SELECT i0, coalesce(v, -1) AS v FROM range(0, 300) AS r(i0) LEFT JOIN (SELECT p_partkey * 2 AS i, p_size AS v FROM part WHERE p_partkey < 130) ON i = i0")
+@query("SELECT i0, coalesce(v, -1) AS v FROM (SELECT unnest(range(0, (SELECT 2 * count(*) + 40 FROM part))) AS i0) LEFT JOIN (SELECT p_partkey * 2 AS i, p_size AS v FROM part) ON i = i0")
 def virtual_gap_fill(spark, sf_dir):
     a = parts(spark, sf_dir)
-    whole = assemble.map_positions(a, [selection.Axis(0, 130)], [selection.Axis(0, 130, 2)], ("i0",), (300,))
+    n = a.shape[0]
+    whole = assemble.map_positions(a, [selection.Axis(0, n)], [selection.Axis(0, n, 2)], ("i0",), (2 * n + 40,))
     return assemble.filled(whole, -1).df
 
 
@@ -289,9 +289,9 @@ def write_selection(spark, sf_dir):
     return assemble.write_box(a, (20,), new).df
 
 
-@query("SELECT p_partkey // 16 AS c0, p_partkey AS i0, p_size AS v FROM part SEMI JOIN (SELECT DISTINCT event_id * 37 // 16 AS c FROM events WHERE event_id < 40) ON c = p_partkey // 16")
+@query("SELECT p_partkey // 16 AS c0, p_partkey AS i0, p_size AS v FROM part SEMI JOIN (SELECT DISTINCT event_id * 37 // 16 AS c FROM events) ON c = p_partkey // 16")
 def chunk_overlap_join(spark, sf_dir):
-    wanted = table(spark, sf_dir, "events").filter("event_id < 40").select(F.expr("event_id * 37 div 16").alias("c0")).distinct()
+    wanted = table(spark, sf_dir, "events").select(F.expr("event_id * 37 div 16").alias("c0")).distinct()
     cells = parts(spark, sf_dir).df.select(chunks.regular(F.col("i0"), 16).alias("c0"), "i0", "v")
     return cells.join(wanted, "c0", "left_semi")
 
@@ -397,19 +397,19 @@ def affine_inverse(spark, sf_dir):
     return df.select("p_partkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("""WITH p AS (SELECT event_id, least(greatest(value, 0.0::DOUBLE), 199.0::DOUBLE) AS x FROM events), c AS (
-SELECT event_id, floor(x)::BIGINT AS i, 1.0::DOUBLE - (x - floor(x)) AS w FROM p UNION ALL SELECT event_id, least(floor(x)::BIGINT + 1, 199), x - floor(x) FROM p)
+@query("""WITH n AS (SELECT count(*) - 1 AS top FROM part), p AS (SELECT event_id, least(greatest(value, 0.0::DOUBLE), top::DOUBLE) AS x, top FROM events, n), c AS (
+SELECT event_id, floor(x)::BIGINT AS i, 1.0::DOUBLE - (x - floor(x)) AS w FROM p UNION ALL SELECT event_id, least(floor(x)::BIGINT + 1, top), x - floor(x) FROM p)
 SELECT event_id, round(sum(w * p_retailprice), 6) AS d FROM c JOIN part ON i = p_partkey WHERE w <> 0 GROUP BY event_id""")
 def displacement_linear(spark, sf_dir):
-    field = table(spark, sf_dir, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("i0"), F.col("p_retailprice").alias("d"))
-    out = tf.field_at(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", ["value"], field, ["i0"], (200,), ["d"])
+    field = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i0"), F.col("p_retailprice").alias("d"))
+    out = tf.field_at(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", ["value"], field, ["i0"], (field.count(),), ["d"])
     return out.select("event_id", F.round("d", 6).alias("d"))
 
 
-@query("SELECT event_id, p_retailprice AS d FROM (SELECT event_id, floor(least(greatest(value, 0.0::DOUBLE), 199.0::DOUBLE) + 0.5::DOUBLE)::BIGINT AS i FROM events) JOIN part ON i = p_partkey")
+@query("SELECT event_id, p_retailprice AS d FROM (SELECT event_id, floor(least(greatest(value, 0.0::DOUBLE), (SELECT count(*) - 1 FROM part)::DOUBLE) + 0.5::DOUBLE)::BIGINT AS i FROM events) JOIN part ON i = p_partkey")
 def displacement_nearest(spark, sf_dir):
-    field = table(spark, sf_dir, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("i0"), F.col("p_retailprice").alias("d"))
-    return tf.field_at(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", ["value"], field, ["i0"], (200,), ["d"], "nearest")
+    field = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i0"), F.col("p_retailprice").alias("d"))
+    return tf.field_at(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", ["value"], field, ["i0"], (field.count(),), ["d"], "nearest")
 
 
 # Chunks and text
