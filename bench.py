@@ -52,6 +52,12 @@ def main() -> None:
             began = time.time()
             sink(registry.QUERIES[name](spark, sf_dir))
             times[name] = round(time.time() - began, 3)
+        small = ArrayFrame(spark.range(4096).select(F.expr("id div 64").alias("i0"), F.expr("id % 64").alias("i1"), F.col("id").cast("double").alias("v")), ("i0", "i1"), (64, 64))
+        for _ in range(2):  # warm-up of each kind of scan and write
+            zarr.write_array(small, folder, "s", data_type="float64", chunks=(16, 16))
+            sink(selection.box(zarr.read_array(spark, folder, "s"), (8, 8), (9, 9)).df)
+            h5.write_dataset(small, f"{folder}/s.h5", "/s", dtype="<f8", chunks=(16, 16))
+            sink(selection.box(h5.read_dataset(spark, f"{folder}/s.h5", "/s"), (8, 8), (9, 9)).df)
         matrix_file(folder)
         array = zarr.read_array(spark, folder, "m", partitionBytes=4 << 20)
         sink(array.df)

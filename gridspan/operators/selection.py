@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +117,8 @@ def points(a: ArrayFrame, where: list[tuple[int, ...]] | DataFrame, *, broadcast
         for p in where:
             if len(p) != a.rank or any(not 0 <= x < n for x, n in zip(p, a.shape, strict=True)):
                 raise IndexError(f"point {p} is outside of {a.shape}")
-        table = spark.createDataFrame([(k, *p) for k, p in enumerate(where)], ", ".join(["k bigint", *(f"{d} bigint" for d in a.dims)]))
+        columns = np.array([(k, *p) for k, p in enumerate(where)], np.int64).reshape(len(where), a.rank + 1).T
+        table = spark.createDataFrame(pa.table(list(columns), names=["k", *a.dims]))  # a local relation, without a task
         if len(where) <= broadcast_rows:
             table = F.broadcast(table)
         for d, axis in zip(a.dims, zip(*where, strict=True), strict=False):
