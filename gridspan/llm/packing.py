@@ -9,6 +9,7 @@ into full sequences, and the last partial one into power-of-two sequences, which
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -78,6 +79,10 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a pool of threads would only spin
         self.most_words, self.most_pieces = most_words, most_pieces
         self.tokenizer = Tokenizer.from_file(path)
+        # pieces need no normaliser and no pattern any more, only the mapping of their bytes
+        parts = json.loads(self.tokenizer.to_str())
+        bytes_only = [{"type": "WhitespaceSplit"}, *(p for p in parts["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")]
+        self.of_pieces = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": bytes_only}}))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -96,7 +101,7 @@ class WordEncoder:
     def learn_pieces(self, pieces: list[str]) -> None:
         for low in range(0, len(pieces), 2_000):
             part = pieces[low : low + 2_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.asarray(self.of_pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             self.pieces.update(zip(part, range(self.of_piece.entries, self.of_piece.entries + len(part)), strict=True))
             self.of_piece.add(ids, np.diff(stops, prepend=0))
