@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 4_000_000
 #: Bytes of the batches that go between Spark and its Python workers.
 BATCH_BYTES = 8 << 20
+#: What a worker process keeps from task to task, by name. Spark reuses its workers, so it would outlive the operator.
+KEPT: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,7 +76,37 @@ def partitions(spark: SparkSession) -> int:
 def on_worker(spark: SparkSession, function, *arguments):
     """``function(*arguments)`` computed in one task: for fits on bounded samples, which then leave the driver alone."""
     sent = spark.sparkContext.broadcast(arguments)
-    return spark.sparkContext.parallelize([0], 1).map(lambda _: function(*sent.value)).first()
+
+    def once(_):
+        try:
+            return function(*sent.value)
+        finally:
+            give_back()
+
+    return spark.sparkContext.parallelize([0], 1).map(once).first()
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed: an idle worker's memory still counts as its executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function: Callable[[Iterator], Iterator], keeps: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``function`` over a task's batches, after dropping all that is KEPT but ``keeps``; freed memory is given back at its end."""
+
+    @wraps(function)
+    def run(batches):
+        for name in [n for n in KEPT if n != keeps]:
+            del KEPT[name]
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: Items of fewer words match by all their words in a row only.
 SHORT = 3
@@ -170,7 +170,7 @@ def contaminations(docs: DataFrame, items: DataFrame, *, least_score: float = LE
                         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word", "equal_words"])
 
-        out = out.union(rows.mapInArrow(run, schema))
+        out = out.union(rows.mapInArrow(tidy(run), schema))
     return out
 
 
@@ -184,5 +184,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, least_score: floa
                 for part in slices(batch, "text"):
                     yield part.filter(pa.array([not sent.value.matches(t) for t in part.column("text").to_pylist()], pa.bool_()))
 
-        kept = kept.mapInArrow(run, kept.schema)
+        kept = kept.mapInArrow(tidy(run), kept.schema)
     return kept.select("row.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, slices
+from .common import checkpointed, partitions, slices, tidy
 
 WINDOW, GRAM = 35, 6
 #: Distinct regions of a minimizer that a shard takes; tokens of an index.
@@ -207,7 +207,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, with_text: bool =
                 columns = [pa.array(r["anchor"]), pa.array(r["content"]), part.column("id").take(of), part.column("key").take(of), pa.array(r["start"].astype(np.int32)), pa.array(r["n"].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "id", "key", "start", "n"])
 
-    rows = base.select("id", "key", "text").mapInArrow(cut, "anchor long, content long, id long, key long, start int, n int")
+    rows = base.select("id", "key", "text").mapInArrow(tidy(cut), "anchor long, content long, id long, key long, start int, n int")
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
     # each aggregate is a side of its own exchange, so that adaptive execution can split the other side's hot keys
     hits = checkpointed(rows.join(checkpointed(again), "anchor"))
@@ -231,7 +231,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, with_text: bool =
 
     # rows equal in id and text give the same cuts; one of them is enough
     source = base.select("id", "key", "text").join(wanted, ["id", "key"]).dropDuplicates(["id", "key"])
-    fetched = checkpointed(source.mapInArrow(fetch, "anchor long, content long, asked boolean, crowd boolean, words binary"))
+    fetched = checkpointed(source.mapInArrow(tidy(fetch), "anchor long, content long, asked boolean, crowd boolean, words binary"))
 
     def search(batches):
         held: list[tuple] = []
@@ -257,7 +257,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, with_text: bool =
 
     shards = fetched.filter("not crowd").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     schema = "anchor long, content long, low int, high int"
-    by_index = shards.select("anchor", "content", "asked", "words").mapInArrow(search, schema)
+    by_index = shards.select("anchor", "content", "asked", "words").mapInArrow(tidy(search), schema)
 
     def each_window(batches):
         for batch in batches:
@@ -271,7 +271,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, with_text: bool =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "content", "at", "a", "b"])
 
-    apart = fetched.filter("crowd").select("anchor", "content", "words").mapInArrow(each_window, "anchor long, content long, at int, a long, b long")
+    apart = fetched.filter("crowd").select("anchor", "content", "words").mapInArrow(tidy(each_window), "anchor long, content long, at int, a long, b long")
     twice = apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("a", "b")
     by_window = apart.join(checkpointed(twice), ["a", "b"]).select("anchor", "content", F.col("at").alias("low"), (F.col("at") + window).alias("high"))
 
@@ -298,4 +298,4 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, with_text: bool =
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(columns)])
 
     joined = base.join(of_row, ["id", "key"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+    return joined.mapInArrow(tidy(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))

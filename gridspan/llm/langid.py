@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_worker, slices
+from .common import on_worker, slices, tidy
 
 WIDTHS = (4, 3, 2)  # widest first: the table of a later offset covers a leading part of the filters
 FILTERS, EMBED, SPAN = 16, 12, 125
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteC
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "lang", "bytes"])
 
-    got = sorted((r["doc_id"], r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(run, "doc_id long, lang string, bytes binary").collect())
+    got = sorted((r["doc_id"], r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(tidy(run), "doc_id long, lang string, bytes binary").collect())
     x = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, WINDOW)
     return on_worker(docs.sparkSession, train, x, [r[1] for r in got])
 
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, net: ByteConvNet, *, text_col: str = "text") -> Da
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, net: ByteConvNet, *, least_score: float = 0.3) -> DataFrame:

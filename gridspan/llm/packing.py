@@ -13,7 +13,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -23,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices
+from .common import KEPT, SLICE_BYTES, slices, tidy
 
 CAPACITY = 4096
 SLACK = 64
+#: The name of a worker's encoder among what it keeps.
+ENCODER = "encoder"
 #: Words and pieces whose ids a worker keeps; a table starts anew beyond that.
 CACHED_WORDS, CACHED_PIECES = 400_000, 500_000
 #: Latin letters whose lower case and composition are one to one, then ASCII punctuation but the apostrophe.
@@ -177,10 +178,12 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[stop] - total[stop - counts]
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str, most_words: int = CACHED_WORDS, most_pieces: int = CACHED_PIECES) -> WordEncoder:
-    """A worker process's encoder, kept from task to task."""
-    return WordEncoder(path, most_words, most_pieces)
+    """A worker process's encoder, kept from task to task until another operator's task runs there."""
+    wanted = (path, most_words, most_pieces)
+    if KEPT.get(ENCODER, (None,))[0] != wanted:
+        KEPT[ENCODER] = (wanted, WordEncoder(*wanted))
+    return KEPT[ENCODER][1]
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[int]:
@@ -278,4 +281,4 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, ENCODER), schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 #: Anchors of each parser.
@@ -133,4 +133,4 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(run), schema)

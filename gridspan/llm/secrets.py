@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import checkpointed, slices, tidy
 
 KINDS = ("assign", "access", "hex", "vendor", "pem", "live")
 #: Fixed patterns of the three base kinds and of the added ones.
@@ -74,7 +74,7 @@ def find_secrets(docs: DataFrame, *, owner_col: str = "source", copied_owners: i
 
     schema = "doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, marks array<struct<a: long, b: long, span: string>>"
     names = ["doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "marks"]
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), F.col("text")).mapInArrow(run, schema)
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), F.col("text")).mapInArrow(tidy(run), schema)
     scanned = checkpointed(scanned.withColumn("row", F.monotonically_increasing_id()))
 
     each = scanned.filter(F.size("marks") > 0).select("row", "doc_id", "owner", F.explode("marks").alias("m")).select("row", "doc_id", "owner", "m.a", "m.b", "m.span")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, checkpointed, grouped, mixed, packed, partitions, slices, unpacked
+from .common import bucket_of, checkpointed, grouped, mixed, packed, partitions, slices, tidy, unpacked
 from .graph import components
 from .packing import numbered_words, ragged
 
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
                 fp = [simhash(shingle_hashes(words_of(t), words)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def bucket_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -118,7 +118,7 @@ def covering_links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     small = members.filter(F.col("n") <= DIRECT).repartition(partitions(distinct.sparkSession), "t", "key").groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    direct = small.select("fps").mapInArrow(run, "a long, b long")
+    direct = small.select("fps").mapInArrow(tidy(run), "a long, b long")
     free = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks()])
     probes = members.filter(F.col("n") > DIRECT).select("t", "fp", F.explode(free[F.col("t")]).alias("flip")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("probe"))
     met = probes.groupBy("t", "probe").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
@@ -258,7 +258,7 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)] + keys, names=["chunk", "bucket", "size", "blobs", "id", "ka", "kb", "ca", "cb"])
                 chunk += 1
 
-    chunks = base.select("id", "ka", "kb", "text").mapInArrow(normalise, "chunk long, bucket long, size long, blobs array<binary>, " + ", ".join(f"{c} array<long>" for c in ("id", "ka", "kb", "ca", "cb")))
+    chunks = base.select("id", "ka", "kb", "text").mapInArrow(tidy(normalise), "chunk long, bucket long, size long, blobs array<binary>, " + ", ".join(f"{c} array<long>" for c in ("id", "ka", "kb", "ca", "cb")))
     chunks = checkpointed(chunks)
     every = chunks.select(F.explode(F.arrays_zip("id", "ka", "kb", "ca", "cb")).alias("x")).select("x.*")
     classes = checkpointed(every.groupBy("ca", "cb").agg(F.min(F.struct("id", "ka", "kb")).alias("node")))
@@ -287,8 +287,8 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
         yield from grouped(batches, ("bucket", "chunk", "blobs"), take)
 
     schema = "chunk long, bucket long, blobs array<binary>"
-    asked = chunks.select("chunk", "blobs").mapInArrow(ask, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = asked.mapInArrow(answer, schema)
+    asked = chunks.select("chunk", "blobs").mapInArrow(tidy(ask), schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(tidy(answer), schema)
 
     def choose(batches):
         def take(chunk, parts):
@@ -309,7 +309,7 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
         yield from grouped(batches, ("chunk", "bucket", "blobs"), take)
 
     together = chunks.select("chunk", "bucket", "blobs").union(answers).repartition(max(partitions(spark), chunks.rdd.getNumPartitions()), "chunk").sortWithinPartitions("chunk", "bucket")
-    chosen = together.mapInArrow(choose, "ca long, cb long, n long, common long, fp long, rank double, prefix array<long>, members binary").dropDuplicates(["ca", "cb"])
+    chosen = together.mapInArrow(tidy(choose), "ca long, cb long, n long, common long, fp long, rank double, prefix array<long>, members binary").dropDuplicates(["ca", "cb"])
     sketches = checkpointed(chosen.withColumn("k", F.monotonically_increasing_id()))
 
     def needed(x, y):
@@ -355,7 +355,7 @@ def one_of_each(docs: DataFrame, *, words: int = SHINGLE, similarity: float = SI
         right = both.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
         right = right.join(sketches.select(F.col("k").alias("b"), "members"), "b").select(part("salt").alias("part"), "salt", "a", "b", "members")
         met = left.union(right).repartition(max(partitions(spark), sketches.rdd.getNumPartitions()), "part").sortWithinPartitions("part", "a", "salt", F.col("b").asc_nulls_first())
-        return checkpointed(met.mapInArrow(verify, "a long, b long"))
+        return checkpointed(met.mapInArrow(tidy(verify), "a long, b long"))
 
     equal = sketches.groupBy("fp").agg(F.min("k").alias("least"))
     equal = checkpointed(equal)

@@ -161,7 +161,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, query_every: int = 50, id_col: str
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.ids[q], b.marks[q], sent.value[n][2][q], b.of[q, j], b.score[q, j])], names=["query_id", "mark", "times", "vec_id", "score"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(tidy(run), schema)
         if copies:
             part = part.union(spark.createDataFrame(copies, schema))
         found = part if found is None else found.union(part)
