@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, SLICE_BYTES, slices, tidy
+from .common import KEPT, SLICE_BYTES, give_back, slices, tidy
 
 CAPACITY = 4096
 SLACK = 64
@@ -275,6 +275,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                         start += n
                 if rows:
                     yield out()
+                give_back()
         rows.extend(bins.finish())
         if rows:
             yield out()
