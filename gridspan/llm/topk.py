@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Queries that are broadcast together (expected; they are dealt by a hash), vectors of a bucket.
 BLOCK, BUCKET = 4096, 256
 #: Local cosine from which a bucket is searched by coordinate.
