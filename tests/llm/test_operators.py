@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridspan.llm import decontam, fmindex, langid, lines, lm, packing, pii, secrets, simhash, topk
+from gridspan.llm import common, decontam, fmindex, langid, lines, lm, packing, pii, secrets, simhash, topk
 from gridspan.llm.queries import tokenizer_path
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, id int, key string, digest string, a int, b int, fp string, v string, spans string, label string, kept string, node string, word string, n int, score string, lang_pred string, held_out string"
@@ -768,3 +768,26 @@ def test_pipeline_stages(spark, docs, empty):
                 assert out.columns == plain.columns and [f.dataType for f in out.schema] == [f.dataType for f in plain.schema]
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, plain, folder).collect()}
     assert {40, 41} & kept == set() or 7 in kept
+
+
+def test_tidy_drops_what_another_operator_kept(monkeypatch):
+    trims = []
+    monkeypatch.setattr(common, "give_back", lambda: trims.append(1))
+    monkeypatch.setattr(common, "KEPT", {"encoder": 1, "other": 2})
+    assert list(common.tidy(iter, "encoder")([1, 2])) == [1, 2] and common.KEPT == {"encoder": 1} and trims == [1]
+    assert list(common.tidy(iter)([])) == [] and common.KEPT == {} and trims == [1, 1]
+
+    def fails(batches):
+        yield from batches
+        raise ValueError("a task that fails")
+
+    with pytest.raises(ValueError, match="fails"):
+        list(common.tidy(fails)([1]))
+    assert trims == [1, 1, 1]
+
+
+def test_encoder_is_kept_until_another_is_wanted(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", {})
+    first = packing.encoder_of(tokenizer_path())
+    assert packing.encoder_of(tokenizer_path()) is first
+    assert packing.encoder_of(tokenizer_path(), 10, 10) is not first and len(packing.KEPT) == 1
