@@ -470,6 +470,27 @@ def test_lm_beats_its_base(spark):
     assert got.score > got.base
 
 
+def test_lm_learns_from_every_window(spark, monkeypatch):
+    """The last sum is of the tasks' weights; its last entry counts the windows that they learned from."""
+    totals, keep = [], lm.vector_sum
+
+    def kept(*args):
+        totals.append(keep(*args))
+        return totals[-1]
+
+    monkeypatch.setattr(lm, "vector_sum", kept)
+    rows = [(i, " ".join(f"w{(7 * i + k) % 50}" for k in range(100)), "en", "s") for i in range(40)]
+    lm.score_documents(table(spark, rows).coalesce(1), tokenizer_path())
+    taught = 101 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(40))
+    assert totals[-1][-1] == -(-taught // lm.SPAN)
+
+
+def test_lm_windows_reach_the_end():
+    chunk = small_chunk([np.arange(n) for n in (40, 31, 7)])
+    stream, windows = chunk.stream(), chunk.windows(1, 0)
+    assert np.array_equal(windows[-1], stream[-lm.SPAN - 1 :]) and len(windows) == -(-(len(stream) - 1) // lm.SPAN)
+
+
 # 5
 
 
