@@ -485,6 +485,17 @@ def test_lm_learns_from_every_window(spark, monkeypatch):
     assert totals[-1][-1] == -(-taught // lm.SPAN)
 
 
+def test_lm_words_keep_their_subwords():
+    """Also where a worker's table of words is full and starts anew."""
+    texts = [pa.array([" ".join(f"word{k}ly" for k in range(low, low + 30))]) for low in (0, 20, 40)] + [pa.array([""])]
+    for size in (35, 1000):
+        encoder = packing.WordEncoder(tokenizer_path(), size, size)
+        for text in texts:
+            c = lm.Chunk.encoded(encoder, text, np.array([True]), np.array([False]))
+            plain = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in text[0].as_py().split()]
+            assert c.words.ids[:-1].tolist() == [i for ids in plain for i in ids]
+
+
 def test_lm_windows_reach_the_end():
     chunk = small_chunk([np.arange(n) for n in (40, 31, 7)])
     stream, windows = chunk.stream(), chunk.windows(1, 0)
