@@ -182,7 +182,7 @@ def astype(v: Column, source: str, target: str) -> Column:
 
 
 def store_exactly(v: Column, target: str) -> Column:
-    """A value that the type holds exactly, or an error."""
+    """A value that the type holds exactly, or an error; null stays null."""
     if target == "bool":
         return (v != 0) | F.isnan(v)
     low, high = RANGES[target]
@@ -192,7 +192,7 @@ def store_exactly(v: Column, target: str) -> Column:
     of_float = F.when(inside, whole_decimal(F.when(inside, d).otherwise(0.0))).otherwise(no)
     exact = v.cast("decimal(38,0)")
     of_whole = F.when((exact == v) & exact.between(Decimal(low), Decimal(high)), exact).otherwise(no)
-    return F.when(F.typeof(v).isin("float", "double"), of_float).otherwise(of_whole).cast(spark_type(target))
+    return F.when(v.isNotNull(), F.when(F.typeof(v).isin("float", "double"), of_float).otherwise(of_whole)).cast(spark_type(target))
 
 
 def promoted(a: str, b: str) -> str:

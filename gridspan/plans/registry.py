@@ -331,7 +331,7 @@ def cast_towards_negative(spark, sf_dir):
 
 @query("SELECT event_id AS i0, CASE user_id WHEN 8 THEN -1 WHEN 46 THEN 99 ELSE user_id END::BIGINT AS v FROM events")
 def cast_scalar_map(spark, sf_dir):
-    return events(spark, sf_dir, casts.cast_value(F.col("user_id"), "int16", source="int64", scalar_map=[(8, -1), (46, 99), (8, 5)]).cast("bigint")).df
+    return events(spark, sf_dir, casts.cast_value(F.col("user_id"), "int64", source="int64", scalar_map=[(8, -1), (46, 99), (8, 5)]).cast("bigint")).df
 
 
 @query("SELECT event_id AS i0, user_id <> 0 AS v FROM events")
@@ -356,7 +356,7 @@ def bitround(spark, sf_dir):
 
 @query("SELECT event_id AS i0, (user_id * 3)::BIGINT AS v FROM events")
 def store_exactly(spark, sf_dir):
-    return events(spark, sf_dir, casts.store_exactly(F.col("user_id") * 3.0, "uint32")).df
+    return events(spark, sf_dir, casts.store_exactly(F.col("user_id") * 3.0, "int64")).df
 
 
 # Coordinate transforms

@@ -35,3 +35,14 @@ def test_query(spark, sql, name):
     if name in ORACLE_SQL:
         wanted = sql.execute(ORACLE_SQL[name])
         assert rows(df.columns, found) == rows([c[0] for c in wanted.description], wanted.fetchall())
+
+
+@pytest.mark.parametrize("name", ["cast_scalar_map", "store_exactly"])
+def test_ids_beyond_a_narrow_type(spark, tmp_path, name):
+    ids = [0, 8, 46, 32_767, 32_768, 90_000, -40_000, 2**31, 3 * 2**31, None]
+    spark.createDataFrame(list(enumerate(ids)), "event_id bigint, user_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    wanted = connection.execute(ORACLE_SQL[name])
+    df = QUERIES[name](spark, str(tmp_path))
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in wanted.description], wanted.fetchall())
