@@ -69,9 +69,10 @@ def hdf5_roundtrip(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def codec_roundtrip(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    passes = []
     for steps in ([("shuffle", {"size": 4}), ("zstd", {}), ("crc32c", {})], [("bitshuffle", {"size": 4, "compress": "lz4"}), ("fletcher32", {})], [("blosc", {"size": 8})], [("bz2", {}), ("adler32", {})]):
-        df = codecs.coded(codecs.coded(df, steps), steps, decode=True)
-    return df.select("doc_id", F.sha2("data", 256).alias("digest"))
+        passes += [(steps, False), (steps, True)]
+    return codecs.recoded(df, passes).select("doc_id", F.sha2("data", 256).alias("digest"))
 
 
 @query()

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +52,20 @@ def test_known_checksums():
     assert checksums.crc32c(long) == state ^ 0xFFFFFFFF
 
 
+def bytewise(data):
+    state = 0xFFFFFFFF
+    for b in data:
+        state = (state >> 8) ^ checksums._CRC32C[(state ^ b) & 255]
+    return state ^ 0xFFFFFFFF
+
+
+def test_crc32c_of_all_lengths():
+    rng = np.random.default_rng(2)
+    values = [rng.bytes(n) for n in (*range(40), 63, 64, 65, 255, 256, 257, 511, 513, 3000, (1 << 18) - 1, (1 << 18) + 3, (1 << 18) + 65)]
+    values += [b * n for b in (b"\0", b"\xff") for n in (1, 4, 64, 257)]
+    assert [checksums.crc32c(v) for v in values] == [bytewise(v) for v in values]
+
+
 def test_codec_columns(spark):
     df = spark.createDataFrame([(1, b"abc" * 100), (2, None), (3, b"")], "k int, data binary")
     steps = [("shuffle", {"size": 4}), ("zlib", {}), ("crc32c", {})]
@@ -58,6 +73,33 @@ def test_codec_columns(spark):
     assert sorted((r.k, None if r.data is None else bytes(r.data)) for r in back.collect()) == [(1, b"abc" * 100), (2, None), (3, b"")]
 
 
+def test_codec_passes_share_a_worker(spark):
+    df = spark.createDataFrame([(1, b"abc" * 100), (2, None), (3, b"")], "k int, data binary")
+    steps, more = [("shuffle", {"size": 4}), ("zlib", {}), ("crc32c", {})], [("blosc", {"size": 8})]
+    back = codecs.recoded(df, [(steps, False), (steps, True), (more, False), (more, True)])
+    assert sorted((r.k, None if r.data is None else bytes(r.data)) for r in back.collect()) == [(1, b"abc" * 100), (2, None), (3, b"")]
+
+
+@pytest.mark.parametrize("name", ["codec_roundtrip"])
+def test_a_task_has_one_worker_at_a_time(spark, tmp_path, name):
+    from gridspan.plans import roundtrips
+
+    spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = getattr(roundtrips, name)(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_batches_of_codecs_are_bounded(spark):
+    rows = 60
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(rows, numPartitions=1).select("id", F.encode(F.expr("repeat('x', 1000000)"), "UTF-8").alias("data"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.get_total_buffer_size()]}) for b in batches)
+    seen = [r.n for r in codecs.coded(df, [("adler32", {})]).mapInArrow(sizes, "n bigint").collect()]
+    assert len(seen) > 5 and max(seen) < 3 * checksums.BATCH_BYTES
+    out = pa.array([b"x" * 1_000_000] * rows)
+    assert [len(p) for p in checksums.slices(out)] == [4] * 15
+
+
 @pytest.mark.parametrize("rounding, want", [("nearest-even", [2, -2, 0, 4]), ("towards-zero", [2, -2, 0, 3]), ("towards-positive", [3, -2, 1, 4]), ("towards-negative", [2, -3, 0, 3]), ("nearest-away", [3, -3, 1, 4])])
 def test_roundings(spark, rounding, want):
     df = spark.createDataFrame([(2.5,), (-2.5,), (0.5,), (3.5,)], "x double")
