@@ -77,6 +77,7 @@ def codec_roundtrip(spark, sf_dir):
 
 @query()
 def chunk_checksums(spark, sf_dir):
+    checksums.bounded_batches(spark)
     data = F.encode("text", "UTF-8")
     return table(spark, sf_dir, "documents").select("doc_id", *[checksums.column(n, data).alias(n) for n in ("crc32", "crc32c", "adler32", "fletcher32", "lookup3", "xxh64")])
 

@@ -1,6 +1,7 @@
 """Codecs, checksums, casts, transforms and texts."""
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,55 @@ def test_crc32c_of_all_lengths():
     assert [checksums.crc32c(v) for v in values] == [bytewise(v) for v in values]
 
 
+def jenkins(data):
+    """lookup3 one value and one word at a time."""
+    m, turned = 0xFFFFFFFF, lambda x, k: (x << k | x >> (32 - k)) & 0xFFFFFFFF
+    s = [(0xDEADBEEF + len(data)) & m] * 3
+    for at in range(0, len(data), 12):
+        s = [(x + int.from_bytes(data[at + 4 * i : at + 4 * i + 4], "little")) & m for i, x in enumerate(s)]
+        if at + 12 < len(data):
+            for i, k in enumerate((4, 6, 8, 16, 19, 4)):
+                x, y, z = i % 3, (i + 2) % 3, (i + 1) % 3
+                s[x] = (s[x] - s[y] & m) ^ turned(s[y], k)
+                s[y] = s[y] + s[z] & m
+    for i, k in enumerate((14, 11, 25, 16, 4, 14, 24) if data else ()):
+        x, y = (i + 2) % 3, (i + 1) % 3
+        s[x] = (s[x] ^ s[y]) - turned(s[y], k) & m
+    return s[2]
+
+
+def test_lookup3_of_all_lengths():
+    rng = np.random.default_rng(2)
+    values = [rng.bytes(n) for n in (*range(40), 63, 64, 65, 255, 256, 257, 511, 513, 3000, (1 << 18) - 1, (1 << 18) + 3, (1 << 18) + 65)]
+    values += [b * n for b in (b"\0", b"\xff") for n in (1, 4, 64, 257)]
+    assert checksums.many("lookup3", values) == [checksums.lookup3(v) for v in values] == [jenkins(v) for v in values]
+    assert checksums.lookup3_all([]).tolist() == [] and checksums.lookup3(b"") == 0xDEADBEEF
+
+
+def test_checksum_columns(spark):
+    values = [b"", None, b"123456789", b"Four score and seven years ago", b"ab" * 5000, None]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, data binary")
+    names = ("crc32", "crc32c", "adler32", "fletcher32", "lookup3", "xxh64")
+    got = {r.k: r for r in df.select("k", *[checksums.column(n, F.col("data")).alias(n) for n in names]).collect()}
+    for k, v in enumerate(values):
+        assert [got[k][n] for n in names] == [None if v is None else checksums.many(n, [v])[0] for n in names]
+
+
+def test_many_short_values_are_hashed_together():
+    rng = np.random.default_rng(3)
+    values = [rng.bytes(1000 + k) for k in range(1000)]
+
+    def seconds(run, values):
+        start = time.process_time()
+        run(values)
+        return time.process_time() - start
+
+    checksums.many("crc32c", values[:20])
+    one_by_one = 10 * seconds(lambda vs: [bytewise(v) for v in vs], values[:100])
+    assert seconds(lambda vs: checksums.many("crc32c", vs), values) < one_by_one / 2
+    assert seconds(lambda vs: checksums.many("lookup3", vs), values) < one_by_one / 2
+
+
 def test_codec_columns(spark):
     df = spark.createDataFrame([(1, b"abc" * 100), (2, None), (3, b"")], "k int, data binary")
     steps = [("shuffle", {"size": 4}), ("zlib", {}), ("crc32c", {})]
